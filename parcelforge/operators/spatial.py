@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parcelforge.operators.skew import heavy_frame, heavy_keys
+
 HOT_CELL = 20_000  # rows of one cell beyond which the cell is split
 
 
@@ -24,13 +26,14 @@ def _cell(v: Column, size: Column | float) -> Column:
 def split_hot(left: DataFrame, right: DataFrame, keys: list[str], hot: int = HOT_CELL) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides with a further key `_salt`, so that no key has more than about `hot` rows of left in one task.
 
-    Keys of left are counted (with map-side combining); those beyond `hot` are dealt into count/hot salts, and the rows
-    of right with such a key are repeated once per salt. At most rows/hot keys are hot, but as that still grows with
-    the data, their table is joined, with whatever strategy its measured size allows.
+    Keys of left are counted (with map-side combining); those beyond `hot`, of which there is a bounded number
+    (heavy_keys), are dealt into parts, and the rows of right with such a key are repeated once per part.
     """
-    counts = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot)
-    salts = counts.select(*keys, F.ceil(F.col("_n") / hot).cast("int").alias("_salts"))
-    left = left.join(salts, keys, "left").withColumn("_salt", F.coalesce(F.floor(F.rand(7) * F.col("_salts")).cast("int"), F.lit(0))).drop("_salts")
+    heavy = heavy_keys(left, keys, hot)
+    if not heavy:
+        return left, right, keys
+    salts = F.broadcast(heavy_frame(left, keys, heavy, hot))
+    left = left.join(salts, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("id", "x", "y"), F.col("_salts").cast("bigint")).cast("int"), F.lit(0))).drop("_salts")
     right = right.join(salts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
     return left, right, [*keys, "_salt"]
 
