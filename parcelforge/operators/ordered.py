@@ -24,23 +24,23 @@ def running_total(df: DataFrame, order_by: list[Column], weight: Column, total:
     give a total order. A null weight counts as 0. Empty input gives an empty result.
     """
     keys = [F.col(c) for c in within]
-    kept = range_ordered(df.withColumn("_w", F.coalesce(weight, F.lit(0))), [*keys, *order_by], label)
-    per_range = kept.groupBy(*within, "_part").agg(F.sum("_w").alias("_sum"), F.count(F.lit(1)).alias("_n"))
+    kept = range_ordered(df.withColumn("_ordered_w", F.coalesce(weight, F.lit(0))), [*keys, *order_by], label)
+    per_range = kept.groupBy(*within, "_part").agg(F.sum("_ordered_w").alias("_ordered_sum"), F.count(F.lit(1)).alias("_ordered_n"))
     # One row per range (and group that ends or begins in it): as many as shuffle partitions plus groups.
     before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1) if within else Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
-        *[F.col(c).alias(f"_k_{c}") for c in within], F.col("_part").alias("_p"),
-        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rows_before"),
+        *[F.col(c).alias(f"_k_{c}") for c in within], F.col("_part").alias("_ordered_p"),
+        F.coalesce(F.sum("_ordered_sum").over(before), F.lit(0)).alias("_ordered_before"), F.coalesce(F.sum("_ordered_n").over(before), F.lit(0)).alias("_ordered_rows_before"),
     )
-    cond = F.col("_part") == F.col("_p")
+    cond = F.col("_part") == F.col("_ordered_p")
     for c in within:
         cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
     in_range = Window.partitionBy(*within, "_part").orderBy("_row")
     out = (
-        kept.withColumns({"_run": F.sum("_w").over(in_range.rowsBetween(Window.unboundedPreceding, 0)), "_at": F.row_number().over(in_range)})
+        kept.withColumns({"_ordered_run": F.sum("_ordered_w").over(in_range.rowsBetween(Window.unboundedPreceding, 0)), "_ordered_at": F.row_number().over(in_range)})
         .join(offsets, cond)
-        .withColumn(total, F.col("_run") + F.col("_before"))
+        .withColumn(total, F.col("_ordered_run") + F.col("_ordered_before"))
     )
     if rank:
-        out = out.withColumn(rank, F.col("_at") - 1 + F.col("_rows_before"))
-    return out.drop("_w", "_run", "_at", "_part", "_row", "_p", "_before", "_rows_before", *[f"_k_{c}" for c in within])
+        out = out.withColumn(rank, F.col("_ordered_at") - 1 + F.col("_ordered_rows_before"))
+    return out.drop("_ordered_w", "_ordered_run", "_ordered_at", "_part", "_row", "_ordered_p", "_ordered_before", "_ordered_rows_before", *[f"_k_{c}" for c in within])
