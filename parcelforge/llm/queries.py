@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelforge.engine import cut, table
-from parcelforge.llm import bpe, mixing, splits, topn
+from parcelforge.llm import bpe, mixing, pii, splits, topn
 
 BEST = 5
 
@@ -61,9 +61,18 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(mixed, made, "doc_id", "source")
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "pii_kind", "start_pos")
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redacted(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "p3_found": p3_found, "p3_ranked": p3_ranked, "p7_found": p7_found, "p7_splits": p7_splits, "p7_shares": p7_shares,
     "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p10_found": p10_found, "p10_redacted": p10_redacted,
 }
 
 _P3 = """
