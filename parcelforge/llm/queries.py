@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelforge.engine import cut, table
-from parcelforge.llm import bpe, mixing, pii, splits, topn
+from parcelforge.llm import bpe, canonical, mixing, pii, splits, topn
 
 BEST = 5
 
@@ -23,6 +23,17 @@ def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topn.top_per_group(table(spark, sf_dir, "polygon_candidates"), "case_key", "candidate_id", "rule_score", "rule_rank", ["loaded_at", "row_id"], BEST)
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ocr = table(spark, sf_dir, "ocr_evidence").select(F.lit("road_phrases").alias("src"), F.col("ocr_id").alias("rec_id"), F.posexplode("road_phrases").alias("pos", "value"))
+    names = table(spark, sf_dir, "name_candidates").select(F.col("kind").alias("src"), F.col("cand_no").alias("rec_id"), F.lit(0).alias("pos"), F.col("name").alias("value"))
+    values = ocr.unionByName(names).where(F.col("value").rlike(r"[^\s\u00a0]")).withColumn("pos", F.col("pos").cast("long"))
+    return canonical.to_reference(values, "value", table(spark, sf_dir, "open_names"), "ID", "NAME1").select("src", "rec_id", "pos", "ref_id")
+
+
+def p5_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_found(spark, sf_dir).groupBy("src").agg(F.count(F.lit(1)).alias("values"), F.count_if(F.col("ref_id") == "").alias("unmatched"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = splits.groups(splits.ties(table(spark, sf_dir, "polygon_candidates"), "case_key", "base_key"))
     return grouped.where("members > 1").select(F.col("key").alias("case_key"), "group_key")
@@ -70,7 +81,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_ranked": p3_ranked, "p7_found": p7_found, "p7_splits": p7_splits, "p7_shares": p7_shares,
+    "p3_found": p3_found, "p3_ranked": p3_ranked, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_splits": p7_splits, "p7_shares": p7_shares,
     "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_redacted": p10_redacted,
 }
