@@ -6,11 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelforge.engine import cut, table
-from parcelforge.llm import bpe, canonical, mixing, pii, splits, topn
+from parcelforge.llm import bpe, canonical, mixing, pii, same_address, splits, topn
 
 BEST = 5
 
 
+def _address_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def of(name, prefix, key, text):
+        return table(spark, sf_dir, name).select(F.concat(F.lit(prefix), F.col(key).cast("string")).alias("rec"), F.col(text).alias("address"))
+
+    return of("cases", "case:", "unique_key", "chargegeog").unionByName(of("geocoder_rows", "row:", "key", "original_address")).unionByName(of("point_candidates", "pt:", "point_id", "address"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_address.pairs(same_address.locations(_address_records(spark, sf_dir)))
+
+
+def p1_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_address.locations(_address_records(spark, sf_dir))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _best(spark, sf_dir).select("case_key", "candidate_id")
 
@@ -81,7 +96,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p3_found": p3_found, "p3_ranked": p3_ranked, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_splits": p7_splits, "p7_shares": p7_shares,
+    "p1_found": p1_found, "p1_locations": p1_locations, "p3_found": p3_found, "p3_ranked": p3_ranked, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_splits": p7_splits, "p7_shares": p7_shares,
     "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_redacted": p10_redacted,
 }
