@@ -39,14 +39,14 @@ def _words(s: str) -> list[str]:
 
 _STREET = "|".join(sorted((re.sub("[sobl]", lambda m: {"s": "[s5]", "o": "[o0]", "b": "[b8]", "l": "[l1|]"}[m.group()], w) for w in _words(STREETS)), key=len, reverse=True))
 _TITLE = "|".join(_words(TITLES))
-_W = r"[^\W\d_][\w'’]*(?:-[^\W\d_][\w'’]*)?"  # a word, double-barrelled or not
+_W = r"[^\W\d_][\w'’]+(?:-[^\W\d_][\w'’]+)?"  # a word, double-barrelled or not
 _CAP = r"[A-ZÀ-Þ][\w'’]*(?:-[A-ZÀ-Þ0-9][\w'’]*)?"
 _D = r"[0-9OolI]"
 
 # All patterns run on the text in lower case (same offsets); PLAIN, TURNED and INITIALS on the text as it is.
-EMAIL = re.compile(
-    r"(?<![\w.+%-])[a-z0-9][a-z0-9._%+-]{0,63}(?: {0,2}(?:@|\(at\)|\[at\]|\{at\}) {0,2}| at )"
-    r"[a-z0-9][a-z0-9-]{0,62}(?:(?:\.|\(dot\)|\[dot\]| dot )[a-z0-9-]{1,63}){1,4}(?![\w@])")
+_USER = r"(?<![\w.+%-])[a-z0-9][a-z0-9._%+-]{0,63}"
+EMAIL = re.compile(rf"{_USER} {{0,2}}(?:@|\(at\)|\[at\]|\{{at\}}) {{0,2}}[a-z0-9][a-z0-9-]{{0,62}}(?:(?:\.|\(dot\)|\[dot\]| dot )[a-z0-9-]{{1,63}}){{1,4}}(?![\w@])")
+EMAIL_WORDS = re.compile(rf"{_USER} at [a-z0-9][a-z0-9-]{{0,62}}(?:(?: dot |\(dot\)|\[dot\])[a-z0-9-]{{1,63}}){{1,4}}(?![\w@])")
 _D = r"[0-9oli]"
 PHONE = re.compile(rf"(?<![\w/.@+-])(?:\+|\()?{_D}(?:[ ().\-]{{0,3}}{_D}){{8,14}}(?![\w@])")
 NATIONAL = re.compile(rf"(?<![\w/-])[a-z]{{2}}[ \-.]{{0,2}}(?:{_D}{{2}}[ \-.]{{0,2}}){{3}}[a-d8](?![\w])")
@@ -93,7 +93,7 @@ def _lower(t: str) -> str:
 def candidates(t: str) -> list[tuple[str, int, int, str]]:
     """(kind, start, end, generator) of every span of a flat text that may be personal data; spans overlap freely."""
     low = _lower(t)
-    out = [("email", m.start(), m.end(), "e") for m in EMAIL.finditer(low)] if "@" in low or "at" in low else []
+    out = [("email", m.start(), m.end(), "e") for rx in (EMAIL, EMAIL_WORDS) for m in rx.finditer(low)] if "@" in low or "at" in low else []
     out += [("phone", m.start(), m.end(), "p") for m in PHONE.finditer(low)]
     out += [("id_number", m.start(), m.end(), "n") for m in NATIONAL.finditer(low)]
     out += [("id_number", m.start(), m.end(), "h") for m in HEALTH.finditer(low)]
@@ -161,8 +161,8 @@ _CUES = {
     "phone": ["Tel {p}.", "For site access call {p} or write to {e}.", "please ring back on {p}.", "Fax header: {p} p.{d}", "Emergency contacts - {n} {p} / {n} {p}", "Cysylltwch â {n} ar {p}.", "Cysylltwch Ã¢ {n} ar {p}.", "field 9 = {p}", "telephone {p} during office hours", "Agent contact {e} (mobile {p})."],
     "id": ["National insurance no. {i} was given on the grant form.", "Patient transport request, health no. {i}, filed in error.", "Applicant ref {i}, date of receipt {d} May 2001.", "Form D field 7 = {i}; field 8 = {n}; field 9 = {p}", "Benefit claimant {n} ({i}) of {a}.", "NHS number {i}"],
     "address": ["The applicant, {n}, lives at {a}.", "key held at {a}.", "a letter posted from {a} in {y}.", "Objection from the occupier of {a} concerning overlooking.", "declared an interest in {a}.", "Works at {a} began without consent.", "Correspondence address: {a}", "Land to the south of {a} was inspected on {d} June {y}.", "Land fronting {a} was inspected on {d} June {y}.", "Land off {a} was inspected.", "land behind {a} was inspected", "Owner: {n}, {a}. Tel {p}.", "thinks it went with {a}.", "Cyfeiriad yr ymgeisydd: {a}", "Yours faithfully, {n} {a} {p}", "Regards {n} {a}"],
-    "name": ["Dear {n}, ", "{n} telephoned on {d} May {y}; please ring back on {p}.", "{n} telephoned on {y}-0{d}; please ring back on {p}.", "Cysylltwch â {n} ar {p}.", "Cysylltwch Ã¢ {n} ar {p}.", "Emergency contacts - {n} {p} / {n} {p}", "Comments should be sent to {n} at {e}.", "{n} telephoned on {d} May {y}; please ring back on {p}.", "The land was sold by {n} to {n} in {y}.", "Witness {n} produced a letter posted from {a} in {y}.", "We, {n} and {n}, object to the barn.", "Signed {n} ({d}.{d}.{d})", "The meeting was chaired by {n}, who declared an interest in {a}.", "Site visit arranged with {n}; key held at {a}.", "Statement of {n}: I have used the path beside {r} since {y}.", "Q: who owns the strip? A: {n} thinks it went with {a}.", "Yours faithfully, {n} {a}", "Yn gywir, {n} Cofrestrwyd cais", "Regards {n} {e} {p}", "Benefit claimant {n} ({i}) of {a}.", "From: {n} <{e}>", "Subject: {y} {r} Dear {n}, {s}"],
-    "none": ["Drawing 0{d}{d}0-{d}00-A supersedes 01{d}2 rev C.", "Bank of drawings {d}6 77{d} 5{d}838 moved to store 7.", "Grid reference {d}{d}89, {d}70606; UPRN 91{d}{d}{d}2{d}98.", "Charge number {d}{d}{d}{d}{d}{d} was cancelled.", "Sheet QQ/12/34 refers, together with AB 12 CD.", "{f} & Sons Ltd acted as agent in the earlier application {d}/00{d}/FUL.", "{s} {f} & Daughters Ltd quoted for the barn.", "{f} & Partners Ltd quoted for the extension.", "The display at {f} Memorial Hall closes at 5 pm.", "Vehicle route: {f} House, then {r}, then {r}.", "The nearest dwelling is about {d} metres from {r}.", "Noise from the mast was raised by residents of {r} and {r}.", "Access is taken from the junction of {r} and {r}.", "Evidence: {r} (score 0.{d}), box {d} of 5, easting {d}4{d}8, northing 3{d}70.", "Plot {d}, land off {r}, is excluded from the notice.", "The tree preservation order covers {d} yew trees off {r}.", "The boundary follows the hedge for {d} metres, then turns towards {r}.", "Item @{d}-May on the notice board was replaced.", "Unit mix: 4 x 2 bed, 6 x 3 bed @ {d} sqm.", "The charge relates to land north of {r}, {l}.", "No objections were received from the parish of {l}.", "Subject: Re: {d}/00{d}/LBC {r}", "Site edged red on drawing L{d}-{d} rev B, scale 1:1250 @ A3.", "Receipt L{d}-{d} rev B. The {s}", "to the extent stated in drawing K{d}-{d} rev B. Officers consider the {s}", "drawing K{d}-{d} rev B.\n{l} {s}", "ymyl goch ar gynllun R60-709 rev B. Rhoddir {s}", "drawing K{d}-{d} rev A. No {s}", "plan L{d} rev B. {l} of {s}", "Where the {f} screens the {s}, the lane is rear.", "Where the {s} permits the old {s}, the terrace is torn.", "Where the {s} permits the {s}, the close is dry.", "Sheet QQ/12/34 refers, together with AB 12 CD. Bank of drawings {d} {d}", "Further to your query, the {f} lane permits a {s}", "Further to your query, the {s}, the old terrace", "Further to your query, the rear hill damages a {s}.", "Further to your query, the {f} terrace screens a mast.", "Further to your query, the rear {f} adjoins a dry road.", "close to {l} {f} & Sons Ltd quoted for the barn.", "the {s} which the parish of {l} supports;", "which the parish of {l} supports; Officers consider the {s}", "No objections were received from the parish of {l} Further to your query", "as the inspector found in {d}/0{d}/LBC Further to your query, the {s}", "in the earlier application {d}/0{d}/TPO Copy of the {s}", "as the inspector found in {d}/0{d}/FUL Each {s}", "in the earlier application {d}/0{d}/OUT. Condition {d}.", "close to {l} Condition {d}. The {s}", "close to {l} Application {d}/0{d}/LBC was registered", "4 x 2 bed, 6 x 3 bed @ {d} sqm. Bank of drawings {d}", "close to {l} Access is taken from the junction of {r} and {r}.", "close to {l} Works must begin within {d} years", "towards {r} No weir delays any {s}", "Timetable 07.15, 07.40, 16.32, 19.60 is withdrawn.", "{r} side: {s}", "Land off {r} extends to 0.{d} ha.", "Surface water shall drain to the existing dairy and not onto {r}.", "Use class E(g)(iii); see clause 4.2.1 and policy H12.", "Mae'r ffin yn dilyn y gwrych am {d} metr tuag at {r}.", "Le terrain se trouve près de {r} à {l}.", "Case {d}{d}{d} follows {d}/01{d}/FUL; {d} pages.", "{s} Councillors met at the village hall in {l}.", "Ref {d}/0{d}/FUL / folder HXD_00{d}{d} / page {d} of {d}.", "GEO CODE {d}{d} {d}{d} FILE HXD_00{d}{d} DATE {d} May {y}", "Works must begin within {d} years and the barn shall be kept open.", "Application {d}/00{d}/TPO was registered on {y}-0{d}-1{d} and determined on {d} March {y}.", "Fee paid: £{d},{d}0. Receipt L{d}-{d}.", "Site edged red on drawing L{d}-{d}, scale 1:1250 @ A3.", "Members asked whether the barn would harm the setting of {l}. {s}", "Between {d} and {d} May the road was closed.", "Col. {d} | dairy | rear | {d}{d} towards {r}.", "{s} / {s} / {s}", "{s} / {s} / {s} pending a decision.", "{s} / {s} / {s} by {d} per cent. Bank of drawings", "within {d} metres.\nDisused terrace / western bakery", "on {d} August {y}\nLand beside {r} extends to 0.{d} ha.", "according to the survey of {y} No terrace triggers any hill.", "Plot {d}, land off Old {r}, is excluded.", "close to {l} It is noted that the barn serves the {s}", "as shown on sheet {d} The {s}", "in {l} Officers consider the mast rear and the garden grand.", "Officers consider the {s} Each {s}", "Condition {d}. The {s}", "Item {d}: lower shed, rear lobby. No {s}"],
+    "name": ["Dear {n}, ", "Site visit arranged with {n}; key held at {a}.", "Benefit claimant {n} ({i}) of {a}.", "Regards\n{n}\n{e}\n{p}", "Yours faithfully,\n{n}\n{a}", "{n} telephoned on {d} May {y}; please ring back on {p}.", "{n} telephoned on {y}-0{d}; please ring back on {p}.", "Cysylltwch â {n} ar {p}.", "Cysylltwch Ã¢ {n} ar {p}.", "Emergency contacts - {n} {p} / {n} {p}", "Comments should be sent to {n} at {e}.", "{n} telephoned on {d} May {y}; please ring back on {p}.", "The land was sold by {n} to {n} in {y}.", "Witness {n} produced a letter posted from {a} in {y}.", "We, {n} and {n}, object to the barn.", "Signed {n} ({d}.{d}.{d})", "The meeting was chaired by {n}, who declared an interest in {a}.", "Site visit arranged with {n}; key held at {a}.", "Statement of {n}: I have used the path beside {r} since {y}.", "Q: who owns the strip? A: {n} thinks it went with {a}.", "Yours faithfully, {n} {a}", "Yn gywir, {n} Cofrestrwyd cais", "Regards {n} {e} {p}", "Benefit claimant {n} ({i}) of {a}.", "From: {n} <{e}>", "Subject: {y} {r} Dear {n}, {s}"],
+    "none": ["Drawing 0{d}{d}0-{d}00-A supersedes 01{d}2 rev C.", "Drawing 07700-900-A supersedes 01632 rev C. {l} reference {d} {d}", "supersedes 01632 rev C. Condition {d}.", "supersedes 01632 rev C. Grid reference {d}", "supersedes 01632 rev C.\nItem {d}: {s}", "Bank of drawings {d}6 77{d} 5{d}838 moved to store 7.", "Grid reference {d}{d}89, {d}70606; UPRN 91{d}{d}{d}2{d}98.", "Charge number {d}{d}{d}{d}{d}{d} was cancelled.", "Sheet QQ/12/34 refers, together with AB 12 CD.", "{f} & Sons Ltd acted as agent in the earlier application {d}/00{d}/FUL.", "{s} {f} & Daughters Ltd quoted for the barn.", "{f} & Partners Ltd quoted for the extension.", "The display at {f} Memorial Hall closes at 5 pm.", "Vehicle route: {f} House, then {r}, then {r}.", "The nearest dwelling is about {d} metres from {r}.", "Noise from the mast was raised by residents of {r} and {r}.", "Access is taken from the junction of {r} and {r}.", "Evidence: {r} (score 0.{d}), box {d} of 5, easting {d}4{d}8, northing 3{d}70.", "Plot {d}, land off {r}, is excluded from the notice.", "The tree preservation order covers {d} yew trees off {r}.", "The boundary follows the hedge for {d} metres, then turns towards {r}.", "Item @{d}-May on the notice board was replaced.", "Unit mix: 4 x 2 bed, 6 x 3 bed @ {d} sqm.", "The charge relates to land north of {r}, {l}.", "No objections were received from the parish of {l}.", "Subject: Re: {d}/00{d}/LBC {r}", "Site edged red on drawing L{d}-{d} rev B, scale 1:1250 @ A3.", "Receipt L{d}-{d} rev B. The {s}", "to the extent stated in drawing K{d}-{d} rev B. Officers consider the {s}", "drawing K{d}-{d} rev B.\n{l} {s}", "ymyl goch ar gynllun R60-709 rev B. Rhoddir {s}", "drawing K{d}-{d} rev A. No {s}", "plan L{d} rev B. {l} of {s}", "Where the {f} screens the {s}, the lane is rear.", "Where the {s} permits the old {s}, the terrace is torn.", "Where the {s} permits the {s}, the close is dry.", "Sheet QQ/12/34 refers, together with AB 12 CD. Bank of drawings {d} {d}", "Further to your query, the {f} lane permits a {s}", "Further to your query, the {s}, the old terrace", "Further to your query, the rear hill damages a {s}.", "Further to your query, the {f} terrace screens a mast.", "Further to your query, the rear {f} adjoins a dry road.", "close to {l} {f} & Sons Ltd quoted for the barn.", "the {s} which the parish of {l} supports;", "which the parish of {l} supports; Officers consider the {s}", "No objections were received from the parish of {l} Further to your query", "as the inspector found in {d}/0{d}/LBC Further to your query, the {s}", "in the earlier application {d}/0{d}/TPO Copy of the {s}", "as the inspector found in {d}/0{d}/FUL Each {s}", "in the earlier application {d}/0{d}/OUT. Condition {d}.", "close to {l} Condition {d}. The {s}", "close to {l} Application {d}/0{d}/LBC was registered", "4 x 2 bed, 6 x 3 bed @ {d} sqm. Bank of drawings {d}", "close to {l} Access is taken from the junction of {r} and {r}.", "close to {l} Works must begin within {d} years", "towards {r} No weir delays any {s}", "Timetable 07.15, 07.40, 16.32, 19.60 is withdrawn.", "{r} side: {s}", "Land off {r} extends to 0.{d} ha.", "Surface water shall drain to the existing dairy and not onto {r}.", "Use class E(g)(iii); see clause 4.2.1 and policy H12.", "Mae'r ffin yn dilyn y gwrych am {d} metr tuag at {r}.", "Le terrain se trouve près de {r} à {l}.", "Case {d}{d}{d} follows {d}/01{d}/FUL; {d} pages.", "{s} Councillors met at the village hall in {l}.", "Ref {d}/0{d}/FUL / folder HXD_00{d}{d} / page {d} of {d}.", "GEO CODE {d}{d} {d}{d} FILE HXD_00{d}{d} DATE {d} May {y}", "Works must begin within {d} years and the barn shall be kept open.", "Application {d}/00{d}/TPO was registered on {y}-0{d}-1{d} and determined on {d} March {y}.", "Fee paid: £{d},{d}0. Receipt L{d}-{d}.", "Site edged red on drawing L{d}-{d}, scale 1:1250 @ A3.", "Members asked whether the barn would harm the setting of {l}. {s}", "Between {d} and {d} May the road was closed.", "Col. {d} | dairy | rear | {d}{d} towards {r}.", "{s} / {s} / {s}", "{s} / {s} / {s} pending a decision.", "{s} / {s} / {s} by {d} per cent. Bank of drawings", "within {d} metres.\nDisused terrace / western bakery", "on {d} August {y}\nLand beside {r} extends to 0.{d} ha.", "according to the survey of {y} No terrace triggers any hill.", "Plot {d}, land off Old {r}, is excluded.", "close to {l} It is noted that the barn serves the {s}", "as shown on sheet {d} The {s}", "in {l} Officers consider the mast rear and the garden grand.", "Officers consider the {s} Each {s}", "Condition {d}. The {s}", "Item {d}: lower shed, rear lobby. No {s}"],
 }
 _SYLLABLES = ("bar bel cor dan dor el fen gar hal ing jar kel lan mor nor os per quel ros sel tam ul ver wil yar zen".split(), "by den dock fer gate ham ish ker low mer ner old ridge stow ton ver wick worth yer".split())
 
