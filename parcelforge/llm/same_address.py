@@ -109,9 +109,10 @@ def spellings(words: DataFrame, window: int = WINDOW) -> DataFrame:
         yield batch_of(links, [])
 
     found = None
+    ranges = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that few bytes with much to compare aren't put into one task
     for key in (F.col("word"), F.reverse("stem")):
         order = [F.col("block"), F.col("key"), F.col("word")]
-        near = cut(marked.withColumn("key", key).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(within, layout), "neighbours")
+        near = cut(marked.withColumn("key", key).repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(within, layout), "neighbours")
         ends = near.where("edge").coalesce(1).mapInArrow(across, layout)
         links = near.where("not edge").unionByName(ends)
         found = links if found is None else found.unionByName(links)
