@@ -31,15 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, as the cluster names it; a temporary one where none is named."""
+    """The folder that all executors share: what spark.checkpoint.dir names. Where it is unset, a temporary folder for a
+    local session, and one beside the tables of the warehouse for a cluster."""
+    app = spark.sparkContext.applicationId
+    known = next((f for f in _made if f.endswith(f"/parcelforge-{app}")), None)
+    if known:
+        return known
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="parcelforge-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    folder = f"{base.rstrip('/')}/parcelforge-{spark.sparkContext.applicationId}"
-    if folder not in _made:
-        _made[folder] = spark
-        atexit.register(_remove, folder)
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        base = "file://" + tempfile.mkdtemp(prefix="parcelforge-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    folder = f"{base.rstrip('/')}/parcelforge-{app}"
+    _made[folder] = spark
+    atexit.register(_remove, folder)
     return folder
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MARK = ""  # a private-use character brackets the number of a placeholder
+MARK, ESCAPE = "\ue000", "\ue001"  # private-use characters: the one brackets the number of a placeholder
 WIDE = "|;,/\\t\\r\\n"
 NARROW = "|;\\t\\r\\n"
 _EDGE = r"^[\s ​﻿]+|[\s ​﻿]+$"
@@ -15,13 +15,18 @@ def _strip(c: Column) -> Column:
     return F.regexp_replace(c, _EDGE, "")
 
 
+def _once(value: Column, then) -> Column:
+    """then(value), with value computed once."""
+    return F.transform(F.array(value), then)[0]
+
+
 def packed_values(text: Column, delimiters: str = WIDE, brackets: bool = True) -> Column:
     """Array of the values of a text, in order.
 
     Quoted spans (`"..."`, with `""` or `\\"` for a quote inside) that begin a value, or follow a colon or equals
     sign, are replaced by numbered placeholders; the rest is split at any of `delimiters` (the inside of a regular
     expression's character class); the placeholders are then looked up again in the array of spans. A character of the
-    text that equals the placeholder mark is escaped first, so nothing can collide. Values are trimmed and stripped
+    text that equals the placeholder's mark is escaped first, so nothing can collide. Values are trimmed and stripped
     of their quotes, empty ones dropped. With `brackets`, a text that is one [list] is read without its brackets.
     Null gives null; an empty or blank text, or one of delimiters only, gives an empty array. A quote that is never
     closed is an ordinary character.
@@ -29,16 +34,14 @@ def packed_values(text: Column, delimiters: str = WIDE, brackets: bool = True) -
     body = _strip(text)
     if brackets:
         body = F.regexp_replace(body, r"(?s)^\[(.*)\]$", "$1")
-    body = F.regexp_replace(body, MARK, f"{MARK}e{MARK}")
-    quoted = rf'(?:(?<=^)|(?<=[{delimiters}:=])|(?<=[{delimiters}:=]\s{{1,9}})|(?<=^\s{{1,9}}))"(?:[^"\\]|""|\\.)*"(?!")'
-    spans = F.regexp_extract_all(body, F.lit(f"({quoted})"), 1)
-    outside = F.split(body, quoted, -1)
-    numbered = F.array_join(
-        F.transform(outside, lambda piece, i: F.concat(piece, F.when(i < F.size(spans), F.concat(F.lit(MARK), i.cast("string"), F.lit(MARK))).otherwise(F.lit("")))), ""
-    )
+    body = F.replace(F.replace(body, F.lit(ESCAPE), F.lit(f"{ESCAPE}f")), F.lit(MARK), F.lit(f"{ESCAPE}e"))
+    quoted = rf'(?:(?<=^)|(?<=[{delimiters}:=])|(?<=[{delimiters}:=]\s{{1,9}})|(?<=^\s{{1,9}}))"(?:[^"\\]|""|\\.)*+"(?!")'
     number = rf"{MARK}(\d+){MARK}"
 
-    def restore(piece: Column) -> Column:
+    def numbered(outside: Column, count: Column) -> Column:
+        return F.array_join(F.transform(outside, lambda piece, i: F.concat(piece, F.when(i < count, F.concat(F.lit(MARK), i.cast("string"), F.lit(MARK))).otherwise(F.lit("")))), "")
+
+    def restore(piece: Column, spans: Column) -> Column:
         at = F.regexp_extract(piece, number, 1)
         span = F.get(spans, at.try_cast("int"))
         inner = F.regexp_replace(F.substring(span, 2, F.length(span) - 2), r'""|\\"', '"')
@@ -46,9 +49,16 @@ def packed_values(text: Column, delimiters: str = WIDE, brackets: bool = True) -
         inside = F.concat(F.split(piece, number, 2)[0], span, F.element_at(F.split(piece, number, 2), -1))
         return F.when(~piece.contains(MARK) | (at == ""), piece).when(whole, inner).otherwise(inside)
 
-    values = F.transform(F.split(numbered, f"[{delimiters}]", -1), restore)
-    values = F.transform(values, lambda v: _strip(F.regexp_replace(v, f"{MARK}e{MARK}", MARK)))
-    return F.filter(values, lambda v: v != "")
+    def plain(v: Column) -> Column:
+        return _strip(F.replace(F.replace(v, F.lit(f"{ESCAPE}e"), F.lit(MARK)), F.lit(f"{ESCAPE}f"), F.lit(ESCAPE)))
+
+    def split(parts: Column) -> Column:
+        pieces = F.split(numbered(parts["outside"], F.size(parts["spans"])), f"[{delimiters}]", -1)
+        return F.filter(F.transform(pieces, lambda piece: plain(restore(piece, parts["spans"]))), lambda v: v != "")
+
+    # Each step's result is bound once: an expression inside a lambda would be computed again for every element.
+    parts = _once(body, lambda t: F.struct(F.regexp_extract_all(t, F.lit(f"({quoted})"), 1).alias("spans"), F.split(t, quoted, -1).alias("outside")))
+    return F.when(text.isNotNull(), _once(parts, split))
 
 
 def unpack(df: DataFrame, text_col: str, keep: list[str], delimiters: str = WIDE, brackets: bool = True, least: int = 1) -> DataFrame:
