@@ -88,7 +88,7 @@ def readings(text: str) -> list[tuple[str, int]]:
     add(bare(whole), 1)
     pieces = [bare(tokens(p)) for p in re.split(r"[,;/|()\[\]\n]| - ", text)]
     if len(pieces) > 1:
-        streets = [p for p in pieces if set(p[1:]) & set(_TYPES) or len(p) == 1 and any(p[0].endswith(a) for a in (*_GLUED, *_TYPES))]
+        streets = [p for p in pieces if set(p[1:]) & set(_TYPES)] or [p for p in pieces if len(p) == 1 and any(p[0].endswith(a) for a in (*_GLUED, *_TYPES))]
         for p in streets or pieces:  # a place named beside a street isn't what is meant
             add(p, 2)
     for words in [bare(whole), *pieces]:
@@ -293,7 +293,7 @@ def to_reference(values: DataFrame, value_col: str, reference: DataFrame, ref_id
     if parts == 1:
         entries = spark.sparkContext.broadcast(tuple((r["id"], r["name"]) for r in names.collect()))
         return one(entries).withColumnRenamed("_ref", "ref_id").drop("_cost")
-    sharded = names.withColumn("_shard", F.pmod(F.xxhash64("name"), F.lit(parts)))
+    sharded = names.withColumn("_shard", F.pmod(F.xxhash64(F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")), F.lit(parts)))
     merged = None
     for s in range(parts):
         entries = spark.sparkContext.broadcast(tuple((r["id"], r["name"]) for r in sharded.where(F.col("_shard") == s).collect()))
