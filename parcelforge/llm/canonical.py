@@ -24,6 +24,7 @@ AROUND = set("off at on to of the land site near nr adj adjacent rear r o part j
 
 _FULL = {a: full for full, short in STREET_WORDS.items() for a in short.split()}
 _SIDES = ("north", "south", "east", "west")
+_FRONT = ("great", "little", "upper", "lower", "old", "new")
 _TYPES = [w for w in list(STREET_WORDS)[: list(STREET_WORDS).index("north")]]
 _DIGITS = str.maketrans("01589|", "olsbgl")
 _GLUED = sorted((a for a, full in _FULL.items() if len(a) > 1 and full in _TYPES), key=len, reverse=True)
@@ -54,6 +55,17 @@ def keys_of(text: str) -> list[str]:
     return fold("".join(tokens(text)))
 
 
+def stem(text: str) -> str:
+    """A street's name without its type, side and a word before it; empty for what isn't a street."""
+    words = tokens(text)
+    if words and words[-1] in _SIDES:
+        words = words[:-1]
+    if len(words) < 2 or words[-1] not in _TYPES:
+        return ""
+    words = words[:-1]
+    return "".join(words[1:] if len(words) > 1 and words[0] in _FRONT else words)
+
+
 def readings(text: str) -> list[tuple[str, int]]:
     """(key, rank) of what a value may name: all of it, without words and numbers around it, or its street alone; in order of preference."""
     out: dict[str, int] = {}
@@ -66,15 +78,15 @@ def readings(text: str) -> list[tuple[str, int]]:
         if not words or sum(map(len, words)) < 4:
             return
         joined = "".join(words)
-        put(joined, rank)
-        if words[-1] not in _TYPES and words[-1] not in _SIDES:
-            for a in _GLUED:  # a street word written on to the name
-                if joined.endswith(a) and len(joined) > len(a) + 3:
-                    put(joined[: -len(a)] + _FULL[a], rank)
-        if words[0] not in ("great", "little", "upper", "lower"):
-            for a, full in (("gt", "great"), ("lt", "little"), ("upr", "upper"), ("lwr", "lower")):
-                if joined.startswith(a):
-                    put(full + joined[len(a) :], rank)
+        heads = [joined]
+        if words[0] not in _FRONT:
+            heads += [full + joined[len(a) :] for a, full in (("gt", "great"), ("lt", "little"), ("upr", "upper"), ("lwr", "lower")) if joined.startswith(a)]
+        for head in heads:
+            put(head, rank)
+            if words[-1] not in _TYPES and words[-1] not in _SIDES:
+                for a in _GLUED:  # a street word written on to the name
+                    if head.endswith(a) and len(head) > len(a) + 3:
+                        put(head[: -len(a)] + _FULL[a], rank)
 
     def bare(words: list[str]) -> list[str]:
         while words and (words[0] in AROUND or re.fullmatch(r"\d+[a-z]?", words[0])):
@@ -217,6 +229,14 @@ class Matcher:
             if name and name.strip():
                 for k in keys_of(name):
                     self.by_key.setdefault(k, (ref, name))
+        stems: dict[str, list[tuple[str, str]]] = {}
+        for entry in dict.fromkeys(self.by_key.values()):
+            if bare := stem(entry[1]):
+                stems.setdefault(bare, []).append(entry)
+        for bare, streets in stems.items():  # what only one street of the list is called names it without its type, too
+            if len(streets) == 1:
+                for k in fold(bare):
+                    self.by_key.setdefault(k, streets[0])
         self.tree = BKTree(list(self.by_key))
         self.known: dict[str, tuple[str, int]] = {}
 
@@ -267,7 +287,7 @@ def to_reference(values: DataFrame, value_col: str, reference: DataFrame, ref_id
     """values with `ref_id`: the id of the entry of reference that value_col means, or "" if none.
 
     A value means the entry whose key (see keys_of) is nearest to one of its readings, at most one edit or one swap away;
-    equally near ones make it none. Of entries with the same key the one with the least id stands. A null or blank
+    equally near ones make it none. A street's name without its type stands for it if no other street of the list has it. Of entries with the same key the one with the least id stands. A null or blank
     value means none. A reference of up to `shard` entries, which is checked, is broadcast as one tree and every row is
     answered where it lies; a larger one is split into shards, each broadcast in a pass of its own, and the winners of
     the shards are merged by cost.

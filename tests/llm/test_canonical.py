@@ -43,10 +43,10 @@ def test_osa_counts_a_swap_once():
     assert osa("abcd", "acbd") == 1 and osa("abcd", "abcd") == 0 and osa("a", "abcdefg", 3) == 4
 
 
-ENTRIES = [("r1", "Mill Lane"), ("r2", "Upper Mill Lane"), ("r3", "Thornbrook Close"), ("r4", "Thornbrook Court"), ("p1", "Millford"), ("s1", "Thornbrook Recreation Ground"), ("r5", "Barnhurst Street West")]
+ENTRIES = [("r1", "Mill Lane"), ("r2", "Upper Mill Lane"), ("r3", "Thornbrook Close"), ("r4", "Thornbrook Court"), ("p1", "Millford"), ("s1", "Thornbrook Recreation Ground"), ("r5", "Barnhurst Street West"), ("r6", "Little Hollow Avenue")]
 VALUES = {
     "Mill Lane": "r1", "MILL LN": "r1", " mill  lane. ": "r1", "M1ll Lane": "r1", "Milllane": "r1", "12 Mill Lane, Millford": "r1", "Upr Mill La": "r2", "land at Thornbrook Close (part)": "r3", "Thornbrok Cl": "r3", "Thorrnbrook Ct": "r4",
-    "Tohrnbrook Crt": "r4", "Thornbrook": "", "Thornbrook Crescent": "", "Millford": "p1", "MILLFROD": "p1", "DO NOT SCALE": "", "Thornbrook Rec Ground": "s1", "Bamhurst St (W)": "r5", "": "", "   ": "", None: "", "x" * 100_000: "",
+    "Tohrnbrook Crt": "r4", "Thornbrook": "", "off Barnhurst": "r5", "Bamhurts": "r5", "LtHollowAv": "r6", "Thornbrook Crescent": "", "Millford": "p1", "MILLFROD": "p1", "DO NOT SCALE": "", "Thornbrook Rec Ground": "s1", "Bamhurst St (W)": "r5", "": "", "   ": "", None: "", "x" * 100_000: "",
 }
 
 
