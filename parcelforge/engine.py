@@ -73,6 +73,12 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in at least as many partitions as there are cores, for work that costs far more than moving its rows; left as it is if it has them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def drop(df: DataFrame | None) -> None:
     """Remove the files behind a table that cut() made."""
     if df is not None and getattr(df, "_cut_path", None):

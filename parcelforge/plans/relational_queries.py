@@ -43,19 +43,22 @@ def rank_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rank_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     other = [F.col("to_road").asc_nulls_last(), F.col("candidate_id")]
-    out = R.portfolio(_candidates(spark, sf_dir), "case_key", _order(), other, 3, 1, F.coalesce(~F.col("covers_best_point"), F.lit(False)) & (F.col("to_road") <= 12))
-    return out.where(F.col("place") <= TOP).select("case_key", "candidate_id", "place", "bucket")
+    out = R.portfolio(_candidates(spark, sf_dir), "case_key", _order(), other, 3, 1, TOP, ~F.col("covers_best_point") & (F.col("to_road") <= 12))
+    return out.select("case_key", "candidate_id", "place", "bucket")
 
 
 def score_margin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("case_key").orderBy(F.col("score").desc_nulls_last(), "candidate_id")
-    c = _candidates(spark, sf_dir).where("score is not null").withColumns({"n": F.row_number().over(w), "next": F.lead("score").over(w)})
-    return c.where("n = 1").select("case_key", "candidate_id", "score", (F.col("score") - F.col("next")).alias("margin"))
+    two = R.placed(_candidates(spark, sf_dir).where("score is not null"), "case_key", [F.desc("score"), F.col("candidate_id")], "n").where("n <= 2")
+    first, second = F.max(F.when(F.col("n") == 1, F.col("score"))), F.max(F.when(F.col("n") == 2, F.col("score")))
+    return two.groupBy("case_key").agg(F.max(F.when(F.col("n") == 1, F.col("candidate_id"))).alias("candidate_id"), first.alias("score"), (first - second).alias("margin"))
+
+
+def _hits(candidates: DataFrame) -> DataFrame:
+    return R.first_hits(candidates, "case_key", R.order_key("rule_rank", "score", "candidate_id"), F.col("covers_best_point"))
 
 
 def first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = R.placed(_candidates(spark, sf_dir), "case_key", _order(), "place")
-    return R.first_hits(ranked, "case_key", "place", F.col("covers_best_point"))
+    return _hits(_candidates(spark, sf_dir))
 
 
 def top_k_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,16 +66,17 @@ def top_k_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def band_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = R.placed(_candidates(spark, sf_dir), "case_key", _order(), "place")
-    per = c.groupBy("case_key").agg(F.max("confidence").alias("confidence"), F.min(F.when(F.col("covers_best_point"), F.col("place"))).alias("hit"))
+    c = _candidates(spark, sf_dir)
+    per = c.groupBy("case_key").agg(F.max("confidence").alias("confidence")).join(_hits(c), "case_key")
     band = F.when(F.col("confidence") < 0.75, "low").when(F.col("confidence") < 0.8, "middle").otherwise("high")
-    return per.where("confidence is not null").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("hit") <= TOP).alias("hits"))
+    return per.where("confidence is not null").groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("cases"), F.count_if(F.col("first_hit") <= TOP).alias("hits"))
 
 
 def recovered_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _candidates(spark, sf_dir)
-    base = R.first_hits(R.placed(c, "case_key", _order(), "p"), "case_key", "p", F.col("covers_best_point")).select("case_key", F.coalesce(F.col("first_hit") <= TOP, F.lit(False)).alias("was"))
-    new = R.first_hits(R.placed(c, "case_key", [F.col("score").desc_nulls_last(), F.col("candidate_id")], "p"), "case_key", "p", F.col("covers_best_point")).select("case_key", F.coalesce(F.col("first_hit") <= TOP, F.lit(False)).alias("now"))
+    base = _hits(c).select("case_key", F.coalesce(F.col("first_hit") <= TOP, F.lit(False)).alias("was"))
+    by_score = F.struct((-F.coalesce("score", F.lit(float("-inf")))).alias("s"), F.col("candidate_id").alias("i"))
+    new = R.first_hits(c, "case_key", by_score, F.col("covers_best_point")).select("case_key", F.coalesce(F.col("first_hit") <= TOP, F.lit(False)).alias("now"))
     both = base.join(new, "case_key", "full")
     gain, loss = F.count_if(~F.col("was") & F.col("now")), F.count_if(F.col("was") & ~F.col("now"))
     return both.agg(gain.alias("recovered"), loss.alias("lost"), (gain - loss).alias("net"))

@@ -91,10 +91,10 @@ def test_fallback(spark):
 
 def test_portfolio_and_rates(spark):
     df = spark.createDataFrame([("g", f"c{i}", i, i % 4 == 3, 10 - i) for i in range(10)] + [("h", "x", 1, True, 0)], "g string, c string, r int, ok boolean, s int")
-    out = {r.c: (r.place, r.bucket) for r in R.portfolio(df, "g", [F.col("r")], [F.col("s")], 2, 1, F.col("ok")).where("g = 'g'").collect()}
+    out = {r.c: (r.place, r.bucket) for r in R.portfolio(df, "g", [F.col("r")], [F.col("s")], 2, 1, 10, F.col("ok")).where("g = 'g'").collect()}
     assert out["c0"] == (1, "base") and out["c1"] == (2, "base") and out["c7"] == (3, "other") and out["c2"] == (4, "rest") and sorted(p for p, _ in out.values()) == list(range(1, 11))
-    rates = {r.k: (r.hits, r.rate) for r in R.top_k_rates(R.first_hits(df, "g", "r", F.col("ok")), [1, 3, 9]).collect()}
-    assert rates == {1: (1, 0.5), 3: (2, 1.0), 9: (2, 1.0)}
+    rates = {r.k: (r.hits, r.rate) for r in R.top_k_rates(R.first_hits(df, "g", F.struct("r"), F.col("ok")), [1, 4, 9]).collect()}
+    assert rates == {1: (1, 0.5), 4: (2, 1.0), 9: (2, 1.0)}  # the fourth of g, the first of h
 
 
 def test_samples(spark):
