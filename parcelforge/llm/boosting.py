@@ -8,8 +8,8 @@ import numpy as np
 class Trees:
     """Logistic boosting with depth-wise trees; a feature's values are 0..255 and a split asks `value <= cut`."""
 
-    def __init__(self, rounds: int = 48, depth: int = 5, rate: float = 0.25, ridge: float = 1.0, least: int = 4):
-        self.rounds, self.depth, self.rate, self.ridge, self.least = rounds, depth, rate, ridge, least
+    def __init__(self, rounds: int = 48, depth: int = 5, rate: float = 0.25, ridge: float = 1.0, least: float = 1.0, share: float = 0.6):
+        self.rounds, self.depth, self.rate, self.ridge, self.least, self.share = rounds, depth, rate, ridge, least, share
         self.base = 0.0
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.scale, self.shift = 1.0, 0.0
@@ -21,31 +21,33 @@ class Trees:
         margin = np.full(n, self.base)
         bins = int(x.max(initial=0)) + 1
         keyed = x.astype(np.int64) + np.arange(width) * bins
+        rng = np.random.default_rng(0)
         for _ in range(self.rounds):
             p = 1 / (1 + np.exp(-margin))
             grad, hess = p - y, np.maximum(p * (1 - p), 1e-6)
             nodes = 2 ** (self.depth + 1) - 1
             feature, cut, value = np.full(nodes, -1), np.zeros(nodes, np.int64), np.zeros(nodes)
             at = np.zeros(n, np.int64)
+            drawn = rng.random(n) < self.share  # each tree sees a part of the rows
             for node in range(nodes):
-                rows = np.flatnonzero(at == node)
+                rows = np.flatnonzero((at == node) & drawn)
                 if not len(rows):
                     continue
                 g, h = grad[rows], hess[rows]
                 value[node] = -self.rate * g.sum() / (h.sum() + self.ridge)
-                if node >= nodes // 2 or len(rows) < 2 * self.least:
+                if node >= nodes // 2 or h.sum() < 2 * self.least:
                     continue
                 flat = keyed[rows].ravel()
-                sums = [np.bincount(flat, np.repeat(w, width), width * bins).reshape(width, bins).cumsum(1) for w in (g, h, np.ones(len(rows)))]
-                gl, hl, nl = (s[:, :-1] for s in sums)
-                gt, ht, nt = g.sum(), h.sum(), len(rows)
+                gl, hl = (np.bincount(flat, np.repeat(w, width), width * bins).reshape(width, bins).cumsum(1)[:, :-1] for w in (g, h))
+                gt, ht = g.sum(), h.sum()
                 gain = gl**2 / (hl + self.ridge) + (gt - gl) ** 2 / (ht - hl + self.ridge) - gt**2 / (ht + self.ridge)
-                gain[(nl < self.least) | (nt - nl < self.least)] = -1
+                gain[(hl < self.least) | (ht - hl < self.least)] = -1
                 if not gain.size or gain.max() <= 1e-6:
                     continue
                 f, c = np.unravel_index(gain.argmax(), gain.shape)
                 feature[node], cut[node] = f, c
-                at[rows] = np.where(x[rows, f] <= c, 2 * node + 1, 2 * node + 2)
+                here = np.flatnonzero(at == node)
+                at[here] = np.where(x[here, f] <= c, 2 * node + 1, 2 * node + 2)
             self.trees.append((feature, cut, value))
             margin += value[at]
         return self

@@ -8,6 +8,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parcelforge.engine import spread
+
 VOCABULARY = os.environ.get("TOKENIZERS", "/opt/tokenizers") + "/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -172,7 +174,7 @@ def token_ids(df: DataFrame, id_col: str, text_col: str, vocabulary: str = VOCAB
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["_id", "ids"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
+    return spread(df.select(f"`{id_col}`", f"`{text_col}`")).mapInArrow(run, f"_id {kind}, ids array<int>").withColumnRenamed("_id", id_col)
 
 
 def token_counts(df: DataFrame, keep: list[str], text_col: str, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -190,5 +192,5 @@ def token_counts(df: DataFrame, keep: list[str], text_col: str, vocabulary: str
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(places))), pa.array(counts, pa.int64())], [*places, "tokens"])
 
     schema = ", ".join([*(f"{p} {k}" for p, k in zip(places, kinds)), "tokens bigint"])
-    out = df.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(keep, places)], F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, schema)
+    out = spread(df.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(keep, places)], F.col(f"`{text_col}`").alias("_text"))).mapInArrow(run, schema)
     return out.select(*[F.col(p).alias(c) for c, p in zip(keep, places)], "tokens")

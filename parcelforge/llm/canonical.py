@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelforge.engine import spread
+
 RADIUS = 2  # edits (insert, delete, replace) within which the tree returns every entry; two neighbours swapped are two
 SHARD = 50_000  # entries of the reference that one broadcast tree holds at most
 REMEMBERED = 1 << 17  # values whose answer a worker keeps
@@ -300,6 +302,7 @@ def to_reference(values: DataFrame, value_col: str, reference: DataFrame, ref_id
     columns = values.columns
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema.fields), "_ref string, _cost int"])
     place = columns.index(value_col)
+    values = spread(values)
 
     def one(entries):
         def run(batches):

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parcelforge.engine import spread
 from parcelforge.llm.boosting import Trees, best_threshold
 
 KINDS = ("email", "phone", "id_number", "street_address", "person_name")
@@ -124,34 +125,55 @@ def candidates(t: str) -> list[tuple[str, int, int, str]]:
 
 
 def _check_digit(digits: str) -> bool:
+    if len(digits) != 10:
+        return False
     total = sum(int(d) * w for d, w in zip(digits, range(10, 1, -1)))
-    return len(digits) == 10 and (11 - total % 11) % 11 == int(digits[9])
+    return (11 - total % 11) % 11 == int(digits[9])
 
 
-def _word_at(vocabulary: dict[str, int], tokens: list[str], i: int) -> int:
-    if not -len(tokens) <= i < len(tokens):
-        return 0
-    return vocabulary["9"] if tokens[i][0].isdigit() else vocabulary.get(tokens[i].translate(_OCR), 1)
+_DIGITS = str.maketrans("OolI", "0011")
+_NO_DIGIT = re.compile(r"[^0-9]+")
+#: What a word is, as bits: street, building, firm, common, title, month.
+_KIND = {w: sum(1 << i for i, name in enumerate(("street", "building", "firm", "common", "title", "month")) if w in (COMMON if name == "common" else _SET[name])) for w in COMMON.union(*_SET.values())}
+_AREA_CODES = ("07", "01", "02", "03", "08", "44", "0044")
+_OPENERS = frozenset(("and", "or", "mrs", "flat", "flt", "apt", "the", "no"))
+_HOW = {c: i for i, c in enumerate("epnhsdtiwcu")}
+
+
+def _code(vocabulary: dict[str, int], token: str) -> int:
+    if token[0].isdigit():
+        return vocabulary["9"]
+    return vocabulary.get(token) or vocabulary.get(token.translate(_OCR), 1)
 
 
 def features(text: str, kind: str, start: int, end: int, how: str) -> list[int]:
     """Format and context of a span, as numbers from 0 to 255."""
-    span, before, after = text[start:end], _TOKEN.findall(text[max(0, start - 48) : start].lower()), _TOKEN.findall(text[end : end + 24].lower())
-    words = [w.strip(".,").lower() for w in span.split()]
-    digits = re.sub(r"\D", "", span.translate(str.maketrans("OolI", "0011")))
-    letters = [c for c in span if c.isalpha()]
-    upper = sum(c.isupper() for c in letters)
-    left = [_word_at(_LEFT, before, -i) for i in (1, 2, 3)]
-    right = [_word_at(_RIGHT, after, i) for i in (0, 1)]
-    row = [
-        "epnhsdtiwcu".index(how), min(len(span), 255), len(words), len(digits), *left, *right, upper == len(letters), upper == 0, ord(text[start - 1]) % 128 if start else 0, ord(text[end]) % 128 if end < len(text) else 0,
-        int(digits[:1] or 10), int(digits[:2] or 100), _check_digit(digits), sum(c in ".-" for c in span), span.count(" "), span[:1] in "+(", digits.startswith(("07", "01", "02", "03", "08", "44", "0044")),
-        span.count(","), sum(w in _SET["street"] for w in words), sum(w in _SET["building"] for w in words), sum(w in _SET["firm"] for w in words), sum(w in COMMON for w in words), sum(w in _SET["title"] for w in words),
-        words[0] in _SET["title"] if words else 0, sum(len(w) == 1 for w in words), words[-1] in _SET["street"] if words else 0, any(w in _SET["month"] for w in words), words[0] in COMMON if words else 0,
-        _LEFT.get(words[0].strip(":;"), 0) if words else 0, _LEFT.get(words[-1], 0) if len(words) > 1 else 0, min((len(w) for w in words), default=0), max((len(w) for w in words), default=0) % 256,
-        sum(1 for c in span if c in "0158" and kind in ("person_name", "street_address")), after[0] in _SET["street"] if after else 0, after[0] in _SET["building"] if after else 0, before[-1] in _SET["title"] if before else 0, words[0] in ("and", "or", "mrs", "flat", "flt", "apt", "the", "no") if words else 0,
+    span = text[start:end]
+    low = span.lower()
+    before, after = _TOKEN.findall(text[max(0, start - 32) : start].lower()), _TOKEN.findall(text[end : end + 20].lower())
+    words = [w.strip(".,") for w in low.split()]
+    digits = _NO_DIGIT.sub("", span.translate(_DIGITS))
+    bits = [_KIND.get(w) or _KIND.get(w.translate(_OCR), 0) for w in words]
+    sizes = [len(w) for w in words] or [0]
+    count = [0] * 6
+    for b in bits:
+        if b:
+            for i in range(6):
+                count[i] += b >> i & 1
+    left = [_code(_LEFT, t) for t in before[:-4:-1]]
+    left += [0] * (3 - len(left))
+    right = [_code(_RIGHT, t) for t in after[:2]]
+    right += [0] * (2 - len(right))
+    first, last = (words[0], words[-1]) if words else ("", "")
+    first_bits, last_bits = (bits[0], bits[-1]) if bits else (0, 0)
+    next_bits = _KIND.get(after[0]) or _KIND.get(after[0].translate(_OCR), 0) if after else 0
+    return [
+        _HOW[how], min(end - start, 255), min(len(words), 255), min(len(digits), 255), *left, *right, span.isupper(), span == low, ord(text[start - 1]) & 127 if start else 0, ord(text[end]) & 127 if end < len(text) else 0,
+        int(digits[:1] or 10), int(digits[:2] or 100), _check_digit(digits), min(span.count(".") + span.count("-"), 255), min(span.count(" "), 255), span[:1] in "+(", digits.startswith(_AREA_CODES),
+        min(span.count(","), 255), *count[:5], first_bits >> 4 & 1, sizes.count(1) & 255, last_bits & 1, count[5] > 0, first_bits >> 3 & 1,
+        _LEFT.get(first.strip(":;"), 0), _LEFT.get(last, 0) if len(words) > 1 else 0, min(min(sizes), 255), min(max(sizes), 255),
+        next_bits & 1, next_bits >> 1 & 1, _KIND.get(before[-1], 0) >> 4 & 1 if before else 0, first in _OPENERS,
     ]
-    return [min(255, int(v)) for v in row]
 
 
 # --- The labelled sample: sentences of the kind these files hold, with made-up values. ---
@@ -162,7 +184,7 @@ _CUES = {
     "id": ["National insurance no. {i} was given on the grant form.", "Patient transport request, health no. {i}, filed in error.", "Applicant ref {i}, date of receipt {d} May 2001.", "Form D field 7 = {i}; field 8 = {n}; field 9 = {p}", "Benefit claimant {n} ({i}) of {a}.", "NHS number {i}"],
     "address": ["The applicant, {n}, lives at {a}.", "key held at {a}.", "a letter posted from {a} in {y}.", "Objection from the occupier of {a} concerning overlooking.", "declared an interest in {a}.", "Works at {a} began without consent.", "Correspondence address: {a}", "Land to the south of {a} was inspected on {d} June {y}.", "Land fronting {a} was inspected on {d} June {y}.", "Land off {a} was inspected.", "land behind {a} was inspected", "Owner: {n}, {a}. Tel {p}.", "thinks it went with {a}.", "Cyfeiriad yr ymgeisydd: {a}", "Yours faithfully, {n} {a} {p}", "Regards {n} {a}"],
     "name": ["Dear {n}, ", "Site visit arranged with {n}; key held at {a}.", "Benefit claimant {n} ({i}) of {a}.", "Regards\n{n}\n{e}\n{p}", "Yours faithfully,\n{n}\n{a}", "{n} telephoned on {d} May {y}; please ring back on {p}.", "{n} telephoned on {y}-0{d}; please ring back on {p}.", "Cysylltwch â {n} ar {p}.", "Cysylltwch Ã¢ {n} ar {p}.", "Emergency contacts - {n} {p} / {n} {p}", "Comments should be sent to {n} at {e}.", "{n} telephoned on {d} May {y}; please ring back on {p}.", "The land was sold by {n} to {n} in {y}.", "Witness {n} produced a letter posted from {a} in {y}.", "We, {n} and {n}, object to the barn.", "Signed {n} ({d}.{d}.{d})", "The meeting was chaired by {n}, who declared an interest in {a}.", "Site visit arranged with {n}; key held at {a}.", "Statement of {n}: I have used the path beside {r} since {y}.", "Q: who owns the strip? A: {n} thinks it went with {a}.", "Yours faithfully, {n} {a}", "Yn gywir, {n} Cofrestrwyd cais", "Regards {n} {e} {p}", "Benefit claimant {n} ({i}) of {a}.", "From: {n} <{e}>", "Subject: {y} {r} Dear {n}, {s}"],
-    "none": ["Drawing 0{d}{d}0-{d}00-A supersedes 01{d}2 rev C.", "Drawing 07700-900-A supersedes 01632 rev C. {l} reference {d} {d}", "supersedes 01632 rev C. Condition {d}.", "supersedes 01632 rev C. Grid reference {d}", "supersedes 01632 rev C.\nItem {d}: {s}", "Bank of drawings {d}6 77{d} 5{d}838 moved to store 7.", "Grid reference {d}{d}89, {d}70606; UPRN 91{d}{d}{d}2{d}98.", "Charge number {d}{d}{d}{d}{d}{d} was cancelled.", "Sheet QQ/12/34 refers, together with AB 12 CD.", "{f} & Sons Ltd acted as agent in the earlier application {d}/00{d}/FUL.", "{s} {f} & Daughters Ltd quoted for the barn.", "{f} & Partners Ltd quoted for the extension.", "The display at {f} Memorial Hall closes at 5 pm.", "Vehicle route: {f} House, then {r}, then {r}.", "The nearest dwelling is about {d} metres from {r}.", "Noise from the mast was raised by residents of {r} and {r}.", "Access is taken from the junction of {r} and {r}.", "Evidence: {r} (score 0.{d}), box {d} of 5, easting {d}4{d}8, northing 3{d}70.", "Plot {d}, land off {r}, is excluded from the notice.", "The tree preservation order covers {d} yew trees off {r}.", "The boundary follows the hedge for {d} metres, then turns towards {r}.", "Item @{d}-May on the notice board was replaced.", "Unit mix: 4 x 2 bed, 6 x 3 bed @ {d} sqm.", "The charge relates to land north of {r}, {l}.", "No objections were received from the parish of {l}.", "Subject: Re: {d}/00{d}/LBC {r}", "Site edged red on drawing L{d}-{d} rev B, scale 1:1250 @ A3.", "Receipt L{d}-{d} rev B. The {s}", "to the extent stated in drawing K{d}-{d} rev B. Officers consider the {s}", "drawing K{d}-{d} rev B.\n{l} {s}", "ymyl goch ar gynllun R60-709 rev B. Rhoddir {s}", "drawing K{d}-{d} rev A. No {s}", "plan L{d} rev B. {l} of {s}", "Where the {f} screens the {s}, the lane is rear.", "Where the {s} permits the old {s}, the terrace is torn.", "Where the {s} permits the {s}, the close is dry.", "Sheet QQ/12/34 refers, together with AB 12 CD. Bank of drawings {d} {d}", "Further to your query, the {f} lane permits a {s}", "Further to your query, the {s}, the old terrace", "Further to your query, the rear hill damages a {s}.", "Further to your query, the {f} terrace screens a mast.", "Further to your query, the rear {f} adjoins a dry road.", "close to {l} {f} & Sons Ltd quoted for the barn.", "the {s} which the parish of {l} supports;", "which the parish of {l} supports; Officers consider the {s}", "No objections were received from the parish of {l} Further to your query", "as the inspector found in {d}/0{d}/LBC Further to your query, the {s}", "in the earlier application {d}/0{d}/TPO Copy of the {s}", "as the inspector found in {d}/0{d}/FUL Each {s}", "in the earlier application {d}/0{d}/OUT. Condition {d}.", "close to {l} Condition {d}. The {s}", "close to {l} Application {d}/0{d}/LBC was registered", "4 x 2 bed, 6 x 3 bed @ {d} sqm. Bank of drawings {d}", "close to {l} Access is taken from the junction of {r} and {r}.", "close to {l} Works must begin within {d} years", "towards {r} No weir delays any {s}", "Timetable 07.15, 07.40, 16.32, 19.60 is withdrawn.", "{r} side: {s}", "Land off {r} extends to 0.{d} ha.", "Surface water shall drain to the existing dairy and not onto {r}.", "Use class E(g)(iii); see clause 4.2.1 and policy H12.", "Mae'r ffin yn dilyn y gwrych am {d} metr tuag at {r}.", "Le terrain se trouve près de {r} à {l}.", "Case {d}{d}{d} follows {d}/01{d}/FUL; {d} pages.", "{s} Councillors met at the village hall in {l}.", "Ref {d}/0{d}/FUL / folder HXD_00{d}{d} / page {d} of {d}.", "GEO CODE {d}{d} {d}{d} FILE HXD_00{d}{d} DATE {d} May {y}", "Works must begin within {d} years and the barn shall be kept open.", "Application {d}/00{d}/TPO was registered on {y}-0{d}-1{d} and determined on {d} March {y}.", "Fee paid: £{d},{d}0. Receipt L{d}-{d}.", "Site edged red on drawing L{d}-{d}, scale 1:1250 @ A3.", "Members asked whether the barn would harm the setting of {l}. {s}", "Between {d} and {d} May the road was closed.", "Col. {d} | dairy | rear | {d}{d} towards {r}.", "{s} / {s} / {s}", "{s} / {s} / {s} pending a decision.", "{s} / {s} / {s} by {d} per cent. Bank of drawings", "within {d} metres.\nDisused terrace / western bakery", "on {d} August {y}\nLand beside {r} extends to 0.{d} ha.", "according to the survey of {y} No terrace triggers any hill.", "Plot {d}, land off Old {r}, is excluded.", "close to {l} It is noted that the barn serves the {s}", "as shown on sheet {d} The {s}", "in {l} Officers consider the mast rear and the garden grand.", "Officers consider the {s} Each {s}", "Condition {d}. The {s}", "Item {d}: lower shed, rear lobby. No {s}"],
+    "none": ["Drawing 0{d}{d}0-{d}00-A supersedes 01{d}2 rev C.", "Drawing 07700-900-A supersedes 01632 rev C. {l} reference {d} {d}", "supersedes 01632 rev C. Condition {d}.", "supersedes 01632 rev C. Grid reference {d}", "supersedes 01632 rev C.\nItem {d}: {s}", "Bank of drawings {d}6 77{d} 5{d}838 moved to store 7.", "Grid reference {d}{d}89, {d}70606; UPRN 91{d}{d}{d}2{d}98.", "Charge number {d}{d}{d}{d}{d}{d} was cancelled.", "Charge number 44{d}39{d}1559{d} was cancelled.", "Charge number 07{d}39{d}1559{d}2 was cancelled.", "UPRN 10{d}4{d}1559{d}", "Sheet QQ/12/34 refers, together with AB 12 CD.", "{f} & Sons Ltd acted as agent in the earlier application {d}/00{d}/FUL.", "{s} {f} & Daughters Ltd quoted for the barn.", "{f} & Partners Ltd quoted for the extension.", "The display at {f} Memorial Hall closes at 5 pm.", "Vehicle route: {f} House, then {r}, then {r}.", "The nearest dwelling is about {d} metres from {r}.", "Noise from the mast was raised by residents of {r} and {r}.", "Access is taken from the junction of {r} and {r}.", "Evidence: {r} (score 0.{d}), box {d} of 5, easting {d}4{d}8, northing 3{d}70.", "Plot {d}, land off {r}, is excluded from the notice.", "The tree preservation order covers {d} yew trees off {r}.", "The boundary follows the hedge for {d} metres, then turns towards {r}.", "Item @{d}-May on the notice board was replaced.", "Unit mix: 4 x 2 bed, 6 x 3 bed @ {d} sqm.", "The charge relates to land north of {r}, {l}.", "No objections were received from the parish of {l}.", "Subject: Re: {d}/00{d}/LBC {r}", "Site edged red on drawing L{d}-{d} rev B, scale 1:1250 @ A3.", "Receipt L{d}-{d} rev B. The {s}", "to the extent stated in drawing K{d}-{d} rev B. Officers consider the {s}", "drawing K{d}-{d} rev B.\n{l} {s}", "ymyl goch ar gynllun R60-709 rev B. Rhoddir {s}", "drawing K{d}-{d} rev A. No {s}", "plan L{d} rev B. {l} of {s}", "Where the {f} screens the {s}, the lane is rear.", "Where the {s} permits the old {s}, the terrace is torn.", "Where the {s} permits the {s}, the close is dry.", "Sheet QQ/12/34 refers, together with AB 12 CD. Bank of drawings {d} {d}", "Further to your query, the {f} lane permits a {s}", "Further to your query, the {s}, the old terrace", "Further to your query, the rear hill damages a {s}.", "Further to your query, the {f} terrace screens a mast.", "Further to your query, the rear {f} adjoins a dry road.", "close to {l} {f} & Sons Ltd quoted for the barn.", "the {s} which the parish of {l} supports;", "which the parish of {l} supports; Officers consider the {s}", "No objections were received from the parish of {l} Further to your query", "as the inspector found in {d}/0{d}/LBC Further to your query, the {s}", "in the earlier application {d}/0{d}/TPO Copy of the {s}", "as the inspector found in {d}/0{d}/FUL Each {s}", "in the earlier application {d}/0{d}/OUT. Condition {d}.", "close to {l} Condition {d}. The {s}", "close to {l} Application {d}/0{d}/LBC was registered", "4 x 2 bed, 6 x 3 bed @ {d} sqm. Bank of drawings {d}", "close to {l} Access is taken from the junction of {r} and {r}.", "close to {l} Works must begin within {d} years", "towards {r} No weir delays any {s}", "Timetable 07.15, 07.40, 16.32, 19.60 is withdrawn.", "{r} side: {s}", "Land off {r} extends to 0.{d} ha.", "Surface water shall drain to the existing dairy and not onto {r}.", "Use class E(g)(iii); see clause 4.2.1 and policy H12.", "Mae'r ffin yn dilyn y gwrych am {d} metr tuag at {r}.", "Le terrain se trouve près de {r} à {l}.", "Case {d}{d}{d} follows {d}/01{d}/FUL; {d} pages.", "{s} Councillors met at the village hall in {l}.", "Ref {d}/0{d}/FUL / folder HXD_00{d}{d} / page {d} of {d}.", "GEO CODE {d}{d} {d}{d} FILE HXD_00{d}{d} DATE {d} May {y}", "Works must begin within {d} years and the barn shall be kept open.", "Application {d}/00{d}/TPO was registered on {y}-0{d}-1{d} and determined on {d} March {y}.", "Fee paid: £{d},{d}0. Receipt L{d}-{d}.", "Site edged red on drawing L{d}-{d}, scale 1:1250 @ A3.", "Members asked whether the barn would harm the setting of {l}. {s}", "Between {d} and {d} May the road was closed.", "Col. {d} | dairy | rear | {d}{d} towards {r}.", "{s} / {s} / {s}", "{s} / {s} / {s} pending a decision.", "{s} / {s} / {s} by {d} per cent. Bank of drawings", "within {d} metres.\nDisused terrace / western bakery", "on {d} August {y}\nLand beside {r} extends to 0.{d} ha.", "according to the survey of {y} No terrace triggers any hill.", "Plot {d}, land off Old {r}, is excluded.", "close to {l} It is noted that the barn serves the {s}", "as shown on sheet {d} The {s}", "in {l} Officers consider the mast rear and the garden grand.", "Officers consider the {s} Each {s}", "Condition {d}. The {s}", "Item {d}: lower shed, rear lobby. No {s}"],
 }
 _SYLLABLES = ("bar bel cor dan dor el fen gar hal ing jar kel lan mor nor os per quel ros sel tam ul ver wil yar zen".split(), "by den dock fer gate ham ish ker low mer ner old ridge stow ton ver wick worth yer".split())
 
@@ -301,7 +323,7 @@ def _scan(df: DataFrame, id_col: str, text_col: str, schema: str, rows):
                 part = batch.slice(at, 512)
                 yield rows(pa, part.column(0), part.column(1).to_pylist(), model.value)
 
-    return df.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"_id {kind}, {schema}").withColumnRenamed("_id", id_col)
+    return spread(df.select(f"`{id_col}`", f"`{text_col}`")).mapInArrow(run, f"_id {kind}, {schema}").withColumnRenamed("_id", id_col)
 
 
 def personal_data(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
