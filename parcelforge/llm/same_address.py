@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ def parsed(records: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds)], ["rec", "unit", "street", "lead", "places", "postcode"])
 
     known = records.select(F.col("rec").cast("string").alias("rec"), F.col("address").cast("string").alias("address")).where("rec is not null and address is not null")
-    return known.distinct().mapInArrow(run, _PARSED)
+    tasks = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return known.repartition(tasks, "rec", "address").dropDuplicates().mapInArrow(run, _PARSED)
 
 
 def _compare(rows: list[tuple], window: int, links: list[tuple], across: bool) -> None:
@@ -53,6 +55,12 @@ def _compare(rows: list[tuple], window: int, links: list[tuple], across: bool) -
                 links.append((block, word, other[2], edits, other[3]))
 
 
+def _side_by_side(*steps) -> list:
+    """The results of steps that don't need each other, run at the same time."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(s) for s in steps]]
+
+
 def least_uses(words: DataFrame) -> float:
     """How many uses a word of (word, uses) needs to be established: RARE of the usual number, at least two."""
     usual = words.agg((F.sum(F.col("uses") * F.col("uses")) / F.sum("uses")).alias("u")).first()["u"] or 0.0
@@ -108,14 +116,16 @@ def spellings(words: DataFrame, window: int = WINDOW) -> DataFrame:
         _compare([(*r[2:], r[0]) for r in rows], window, links, True)
         yield batch_of(links, [])
 
-    found = None
     ranges = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that few bytes with much to compare aren't put into one task
-    for key in (F.col("word"), F.reverse("stem")):
+
+    def one_pass(key: Column) -> DataFrame:
         order = [F.col("block"), F.col("key"), F.col("word")]
         near = cut(marked.withColumn("key", key).repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(within, layout), "neighbours")
         ends = near.where("edge").coalesce(1).mapInArrow(across, layout)
-        links = near.where("not edge").unionByName(ends)
-        found = links if found is None else found.unionByName(links)
+        return near.where("not edge").unionByName(ends)
+
+    forward, backward = _side_by_side(lambda: one_pass(F.col("word")), lambda: one_pass(F.reverse("stem")))
+    found = forward.unionByName(backward)
     return cut(found.groupBy("block", "word").agg(F.min_by("to", F.struct("edits", -F.col("weight"), "to")).alias("to")), "spellings")
 
 
@@ -169,10 +179,11 @@ def locations(records: DataFrame) -> DataFrame:
 
     streets = joined.where("area is not null").groupBy(F.col("area").alias("block"), F.col("street").alias("word")).agg(F.count(F.lit(1)).alias("uses"))
     streets = cut(streets, "streets")
-    slips = spellings(streets)
     # Slips of streets that nobody in the area spells right: their names' stems, against those of all areas.
     stems = streets.groupBy(F.lit("stem").alias("block"), F.substring_index("word", "|", 1).alias("word")).agg(F.sum("uses").alias("uses"))
-    of_stem = spellings(stems).select(F.col("word").alias("stem"), F.col("to").alias("right"))
+    houses = cut(joined.where("house is not null").groupBy(F.lit("house").alias("block"), F.col("house").alias("word")).agg(F.count(F.lit(1)).alias("uses")), "houses")
+    slips, of_stem, of_house = _side_by_side(lambda: spellings(streets), lambda: spellings(stems), lambda: spellings(houses))
+    of_stem = of_stem.select(F.col("word").alias("stem"), F.col("to").alias("right"))
     left_over = streets.join(slips.select("block", "word"), ["block", "word"], "left_anti").withColumn("stem", F.substring_index("word", "|", 1))
     mended = lookup(left_over, of_stem, "stem").select("block", "word", F.concat(F.col("right"), F.expr("substr(word, length(stem) + 1)")).alias("to"))
     slips = cut(slips.unionByName(mended), "slips")
@@ -184,9 +195,7 @@ def locations(records: DataFrame) -> DataFrame:
     placed = joined.join(settled, "row", "left").withColumn("area", F.coalesce("area", "found")).drop("found")
     placed = cut(_corrected(placed, slips, F.col("area"), "street"), "placed")
 
-    houses = placed.where("house is not null").groupBy(F.lit("house").alias("block"), F.col("house").alias("word")).agg(F.count(F.lit(1)).alias("uses"))
-    houses = cut(houses, "houses")
-    placed = _corrected(placed, spellings(houses), F.lit("house"), "house")
+    placed = _corrected(placed, of_house, F.lit("house"), "house")
     plain = F.element_at(F.split("unit", "/"), -1) != ""
     house_known = houses.where("uses > 1").select(F.col("word").alias("house"), F.lit(True).alias("is_house"))
     placed = lookup(placed.withColumn("house", F.coalesce("house", F.lit(""))), house_known, "house", "left")
