@@ -144,3 +144,27 @@ def shape(wkb: Column) -> Column:
         return pd.DataFrame(rows, columns=fields)
 
     return measure(wkb)
+
+
+def national_grid(lon: Column, lat: Column) -> Column:
+    """struct(easting, northing) of a place on the Airy ellipsoid in the national transverse Mercator projection, metres.
+
+    Without a change of datum: for GPS coordinates that is some 100 m off; give coordinates in the national datum.
+    """
+    # The ellipsoid's axes, the scale and the true origin of the projection.
+    a, b, f0, e0, n0 = 6377563.396, 6356256.909, 0.9996012717, 400000.0, -100000.0
+    phi0, lam0 = 49 * 3.141592653589793 / 180, -2 * 3.141592653589793 / 180
+    e2, n = 1 - (b / a) ** 2, (a - b) / (a + b)
+    p, lam = F.radians(lat), F.radians(lon) - lam0
+    s, c, t = F.sin(p), F.cos(p), F.tan(p)
+    nu = a * f0 / F.sqrt(1 - e2 * s * s)
+    rho = a * f0 * (1 - e2) / F.pow(1 - e2 * s * s, 1.5)
+    eta = nu / rho - 1
+    d, q = p - phi0, p + phi0
+    arc = b * f0 * (
+        (1 + n + 5 / 4 * n**2 + 5 / 4 * n**3) * d - (3 * n + 3 * n**2 + 21 / 8 * n**3) * F.sin(d) * F.cos(q)
+        + (15 / 8 * n**2 + 15 / 8 * n**3) * F.sin(2 * d) * F.cos(2 * q) - 35 / 24 * n**3 * F.sin(3 * d) * F.cos(3 * q)
+    )
+    north = arc + n0 + nu / 2 * s * c * F.pow(lam, 2) + nu / 24 * s * F.pow(c, 3) * (5 - t * t + 9 * eta) * F.pow(lam, 4) + nu / 720 * s * F.pow(c, 5) * (61 - 58 * t * t + F.pow(t, 4)) * F.pow(lam, 6)
+    east = e0 + nu * c * lam + nu / 6 * F.pow(c, 3) * (nu / rho - t * t) * F.pow(lam, 3) + nu / 120 * F.pow(c, 5) * (5 - 18 * t * t + F.pow(t, 4) + 14 * eta - 58 * t * t * eta) * F.pow(lam, 5)
+    return F.struct(east.alias("easting"), north.alias("northing"))

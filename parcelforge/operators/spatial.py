@@ -80,3 +80,54 @@ def inside_boxes(points: DataFrame, boxes: DataFrame, point: tuple[str, str, str
     p, b, keys = split_hot(p, b, ["level", "cx", "cy"], hot)
     held = (F.abs(F.col("x") - F.col("bx")) <= half) & (F.abs(F.col("y") - F.col("by")) <= half)
     return p.join(b, keys).where(held).select("id", "box_id")
+
+
+def near_in_group(left: DataFrame, right: DataFrame, group: str, left_xy: tuple[str, str], right_xy: tuple[str, str], radius: float, hot: int = HOT_CELL) -> DataFrame:
+    """Rows of left and right of the same group at most `radius` apart, with `distance_m`; right's columns must have names of their own.
+
+    As within_distance, with the group as part of the cell's key. Rows without a place or group are left out; equal
+    rows stay equal rows.
+    """
+    side = 2.0 * radius
+    x, y = (F.col(c).cast("double") for c in left_xy)
+    ox, oy = (F.col(c).cast("double") for c in right_xy)
+    reach = lambda v: F.array_distinct(F.array(_cell(v - radius, side), _cell(v + radius, side)))
+    a = left.where(finite(x, y) & F.col(group).isNotNull()).withColumns({"id": F.monotonically_increasing_id(), "x": x, "y": y})
+    a = a.withColumn("cx", F.explode(reach(F.col("x")))).withColumn("cy", F.explode(reach(F.col("y"))))
+    b = right.where(finite(ox, oy) & F.col(group).isNotNull()).withColumns({"_ox": ox, "_oy": oy}).withColumns({"cx": _cell(ox, side), "cy": _cell(oy, side)})
+    a, b, keys = split_hot(a, b, [group, "cx", "cy"], hot)
+    d = F.hypot(F.col("x") - F.col("_ox"), F.col("y") - F.col("_oy"))
+    return a.join(b, keys).withColumn("distance_m", d).where(F.col("distance_m") <= radius).drop("id", "x", "y", "_ox", "_oy", "cx", "cy", "_salt")
+
+
+def inside_polygons(points: DataFrame, polygons: DataFrame, point: tuple[str, str, str], polygon: tuple[str, str], hot: int = HOT_CELL) -> DataFrame:
+    """Distinct (id, polygon_id) of points in, or on an edge of, polygons given as WKB; holes are outside.
+
+    The polygons' boxes meet the points in grids of the boxes' own magnitudes (as in inside_boxes: a box that isn't
+    square is taken as the square around it); what is in a box is tested exactly, by Arrow batches in which each polygon
+    is decoded once. Null, damaged and other geometries hold nothing.
+    """
+    import pyarrow as pa
+
+    from parcelforge.functions.geometry import contains, rings, shape
+
+    g = polygons.select(F.col(polygon[0]).alias("polygon_id"), F.col(polygon[1]).alias("wkb")).where("wkb is not null").distinct().withColumn("s", shape(F.col("wkb"))).where("s.minx is not null")
+    g = g.withColumns({"px": (F.col("s.minx") + F.col("s.maxx")) / 2, "py": (F.col("s.miny") + F.col("s.maxy")) / 2, "side": F.greatest(F.col("s.maxx") - F.col("s.minx"), F.col("s.maxy") - F.col("s.miny"))})
+    keyed = g.withColumn("key", F.xxhash64("polygon_id", "wkb"))
+    held = inside_boxes(points, keyed.withColumn("box", F.struct("polygon_id", "key")), point, ("box", "px", "py", "side"), hot)
+    at = points.select(F.col(point[0]).alias("id"), F.col(point[1]).cast("double").alias("x"), F.col(point[2]).cast("double").alias("y")).where(finite(F.col("x"), F.col("y"))).distinct()
+    tested = held.join(at, "id").select("id", "x", "y", F.col("box_id.key").alias("key"), F.col("box_id.polygon_id").alias("polygon_id")).join(keyed.select("key", "polygon_id", "wkb"), ["key", "polygon_id"])
+    kinds = {f.name: f.dataType.simpleString() for f in tested.schema.fields}
+
+    def run(batches):
+        for batch in batches:
+            known: dict[bytes, list] = {}
+            keep = []
+            for x, y, wkb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+                if wkb not in known:
+                    known[wkb] = rings(wkb)
+                keep.append(contains(known[wkb], x, y))
+            yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
+
+    out = tested.select("id", "polygon_id", "x", "y", "wkb").mapInArrow(run, f"id {kinds['id']}, polygon_id {kinds['polygon_id']}")
+    return out.distinct()

@@ -1,10 +1,12 @@
 import math
 import random
+import struct
 
 from parcelforge.operators.cluster import single_link
 from parcelforge.operators.ordered import running_total
 from parcelforge.operators.skew import lookup, with_salt
-from parcelforge.operators.spatial import inside_boxes, within_distance
+from parcelforge.functions.geometry import contains, rings
+from parcelforge.operators.spatial import inside_boxes, inside_polygons, near_in_group, within_distance
 from parcelforge.operators.suppress import suppress
 from pyspark.sql import functions as F
 
@@ -86,3 +88,34 @@ def test_hot_keys(spark):
     for least in (300, 10**9):
         assert lookup(df, right, "k", "left", least).count() == 2100
         assert lookup(df, right, "k", "inner", least).count() == 2001
+
+
+def polygon(*parts):
+    return struct.pack("<BII", 1, 3, len(parts)) + b"".join(struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) for p in r) for r in parts)
+
+
+def test_inside_polygons(spark):
+    rng = random.Random(30)
+    shapes = []
+    for i in range(40):
+        cx, cy, r = rng.uniform(-150, 150), rng.uniform(-150, 150), rng.choice([2, 30, 120])
+        ring = [(cx + r * rng.uniform(0.5, 1) * math.cos(k * 0.7), cy + r * rng.uniform(0.5, 1) * math.sin(k * 0.7)) for k in range(9)]
+        hole = [(cx - r / 9, cy - r / 9), (cx + r / 9, cy - r / 9), (cx, cy + r / 9), (cx - r / 9, cy - r / 9)]
+        shapes.append((i, bytearray(polygon([*ring, ring[0]], hole))))
+    p = points(rng, 400) + [(900, math.nan, 0.0)]
+    want = {(i, j) for i, x, y in p if math.isfinite(x) for j, g in shapes if contains(rings(bytes(g)), x, y)}
+    a = spark.createDataFrame(p, "id long, x double, y double")
+    b = spark.createDataFrame([*shapes, shapes[0], (77, None), (78, bytearray(b"bad"))], "pid long, g binary")
+    got = [(r.id, r.polygon_id) for r in inside_polygons(a, b, ("id", "x", "y"), ("pid", "g")).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_near_in_group(spark):
+    rng = random.Random(31)
+    a = [(rng.choice("ab"), i, rng.uniform(0, 200), rng.uniform(0, 200)) for i in range(150)] + [(None, 900, 1.0, 1.0)]
+    b = [(rng.choice("ab"), i, rng.uniform(0, 200), rng.uniform(0, 200)) for i in range(150)] + [("a", 901, None, 1.0)]
+    want = {(i, j) for g, i, x, y in a if g for h, j, u, v in b if g == h and u is not None and math.hypot(x - u, y - v) <= 25}
+    left, right = spark.createDataFrame(a, "g string, i long, ax double, ay double"), spark.createDataFrame(b, "g string, j long, bx double, by double")
+    for hot in (10_000, 4):
+        got = [(r.i, r.j) for r in near_in_group(left, right, "g", ("ax", "ay"), ("bx", "by"), 25.0, hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
