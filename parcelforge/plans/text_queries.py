@@ -213,4 +213,10 @@ ORACLES = {
     "phrase_elements": """with s as (select ocr_id, list_filter(list_transform(road_phrases, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: x is not null and x <> '') as p from ocr_evidence),
         z as (select ocr_id, list_filter(p, lambda x, i: list_position(p, x) = i) as p from s)
         select ocr_id, cast(unnest(range(len(p))) as int) as pos, unnest(p) as phrase from z""",
+    "token_similarity": f"""with u as (select row_id, 'a' as side, original_address as v from geocoder_rows union all select row_id, 'b', best_address_final from geocoder_rows),
+        s as (select row_id, side, v, {_BARE.replace('original_address', 'v')} as t from u), z as (select row_id, side, list_distinct(list_filter(string_split({_exp('v')}, ' '), lambda w: w <> '')) as w, case when t is not null then {_NUMBERS} end as n, {_LOHI} from s),
+        j as (select a.row_id, a.w as wa, b.w as wb, a.n as na, b.n as nb, case when a.hi is not null then a.lo end as la, a.hi as ha, case when b.hi is not null then b.lo end as lb, b.hi as hb from z a join z b on a.row_id = b.row_id and a.side = 'a' and b.side = 'b')
+        select row_id, case when wa is null or wb is null then 0 else round(coalesce(len(list_intersect(wa, wb)) / nullif(len(list_distinct(list_concat(wa, wb))), 0), 0), 9) end as jaccard, cast(coalesce(len(list_intersect(wa, wb)), 0) as int) as shared,
+          round(1 - least(list_min(flatten(list_transform(na, lambda x: list_transform(nb, lambda y: abs(x - y))))), 140) / 140, 9) as near,
+          case when la is null and lb is null then 1 when la is null or lb is null then 0 when la = lb and ha = hb then 4 when la <= hb and lb <= ha then 2 else 0 end as relation from j""",
 }
