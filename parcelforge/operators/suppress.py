@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,43 +14,40 @@ from parcelforge.operators.spatial import finite
 def suppress(df: DataFrame, group: str, x: str, y: str, order: list[Column], distance: float, keep: int | None = None) -> DataFrame:
     """The rows that a greedy pass keeps: in the given order, a row stays if no row kept before lies closer than `distance`.
 
-    The same rows as the sequential pass (a row exactly at the distance stays), found in rounds: a row stays once
-    nobody ahead of it within the distance is undecided or kept, and goes once a kept one is; rows meet only in
-    neighbouring grid cells of the distance's size. So a group is never in one task, however large. With `keep`,
-    the first so many of each group. `order` must be total within a group; rows with a null or non-finite place, or a
-    null group, are left out. Rounds end when all are decided: as many as the longest chain of neighbours in order.
+    The same rows as the sequential pass (a row exactly at the distance stays), found in rounds over grid cells so small
+    that all rows of a cell are nearer to each other than the distance. In a round, the first row of each cell stays if
+    it is ahead of the first rows of all cells around; the rows within the distance of those that stay go. Rows of a cell
+    are met by an aggregate and by the few that stay, never by each other, so neither a large group nor a crowded place
+    costs more than its rows. With `keep`, the first so many of each group. `order` holds ascending keys (a descending
+    number as its negative) and must be total within a group; rows with a null or non-finite place, or a null group, are
+    left out.
     """
-    rank = "_place_in_order"
+    size = distance / math.sqrt(2) * (1 - 1e-9)
     ranked = df.where(F.col(group).isNotNull() & finite(F.col(x), F.col(y)))
-    ranked = cut(ranked.withColumn(rank, F.struct(*[c.alias(f"o{i}") for i, c in enumerate(_keys(order))])).withColumn("_id", F.monotonically_increasing_id()), "ranked")
-    small = ranked.select("_id", F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(rank).alias("o"))
-    cell = lambda v: F.floor(F.col(v) / distance).cast("long")
-    near = small.withColumns({"cx": cell("x"), "cy": cell("y")})
-    around = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    ahead = near.select(F.col("_id").alias("by"), "g", F.col("x").alias("bx"), F.col("y").alias("by_"), F.col("o").alias("bo"), "cx", "cy", around.alias("d"))
-    ahead = ahead.select("by", "g", "bx", "by_", "bo", (F.col("cx") + F.col("d.i")).alias("cx"), (F.col("cy") + F.col("d.j")).alias("cy"))
-    blocks = near.join(ahead, ["g", "cx", "cy"]).where((F.col("bo") < F.col("o")) & (F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by_")) < distance)).select("_id", "by")
-    blocks = cut(blocks, "blocks")
-    undecided = cut(blocks.select("_id").distinct(), "undecided")
-    kept_ids = cut(small.select("_id").join(undecided, "_id", "left_anti"), "kept")
-    fresh = kept_ids
-    live = blocks
-    while not undecided.isEmpty():
-        gone = live.join(fresh.select(F.col("_id").alias("by")), "by", "left_semi").select("_id").distinct()
-        gone = cut(gone, "gone")
-        next_live = cut(live.join(gone, "_id", "left_anti").join(gone.select(F.col("_id").alias("by")), "by", "left_anti").join(fresh.select(F.col("_id").alias("by")), "by", "left_anti"), "live")
-        open_ = undecided.join(gone, "_id", "left_anti")
-        next_undecided = cut(next_live.select("_id").distinct(), "undecided")
-        fresh = cut(open_.join(next_undecided, "_id", "left_anti"), "fresh")
-        kept_ids = cut(kept_ids.unionByName(fresh), "kept")
-        drop(live), drop(undecided)
-        live, undecided = next_live, next_undecided
-    out = ranked.join(kept_ids, "_id", "left_semi")
+    ranked = cut(ranked.withColumns({"_order": F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]), "_id": F.monotonically_increasing_id()}), "ranked")
+    alive = ranked.select("_id", F.col(group).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col("_order").alias("o"))
+    alive = cut(alive.withColumns({"cx": F.floor(F.col("x") / size).cast("long"), "cy": F.floor(F.col("y") / size).cast("long")}), "alive")
+    steps = [(i, j) for i in range(-2, 3) for j in range(-2, 3)]
+
+    def around(cells: DataFrame, including: bool) -> DataFrame:
+        """Each row once for every cell within two steps of its own."""
+        offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps if including or (i, j) != (0, 0)])
+        out = cells.withColumn("d", F.explode(offsets))
+        return out.withColumns({"cx": F.col("cx") + F.col("d.i"), "cy": F.col("cy") + F.col("d.j")}).drop("d")
+
+    kept: DataFrame | None = None
+    while not alive.isEmpty():
+        first = cut(alive.groupBy("g", "cx", "cy").agg(F.min(F.struct("o", "_id", "x", "y")).alias("f")), "first")
+        rivals = around(first.select("g", "cx", "cy", F.col("f.o").alias("rival")), False).groupBy("g", "cx", "cy").agg(F.min("rival").alias("rival"))
+        ahead = first.join(rivals, ["g", "cx", "cy"], "left").where(F.col("rival").isNull() | (F.col("f.o") < F.col("rival")))
+        stay = cut(ahead.select("g", "cx", "cy", F.col("f._id").alias("stays"), F.col("f.x").alias("kx"), F.col("f.y").alias("ky")), "stay")
+        met = alive.join(around(stay, True), ["g", "cx", "cy"]).where(F.hypot(F.col("x") - F.col("kx"), F.col("y") - F.col("ky")) < distance)
+        left = cut(alive.join(met.select("_id").distinct(), "_id", "left_anti"), "alive")
+        ids = stay.select(F.col("stays").alias("_id"))
+        kept = ids if kept is None else kept.unionByName(ids)
+        drop(alive), drop(first)
+        alive = left
+    out = ranked.join(kept, "_id", "left_semi") if kept is not None else ranked
     if keep is not None:
-        out = out.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(rank))).where(F.col("_n") <= keep).drop("_n")
-    return out.drop("_id", rank)
-
-
-def _keys(order: list[Column]) -> list[Column]:
-    """Columns to order by, ascending; give descending numbers as their negative."""
-    return list(order)
+        out = out.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy("_order"))).where(F.col("_n") <= keep).drop("_n")
+    return out.drop("_id", "_order")
