@@ -13,6 +13,7 @@ from parcelforge.engine import spread
 
 RADIUS = 2  # edits (insert, delete, replace) within which the tree returns every entry; two neighbours swapped are two
 SHARD = 50_000  # entries of the reference that one broadcast tree holds at most
+TOGETHER = 40_000  # values that go down the tree together
 REMEMBERED = 1 << 17  # values whose answer a worker keeps
 
 # Abbreviations of street words, and words that only say where at a street something is.
@@ -137,9 +138,9 @@ for _i, _c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789", 1):
 
 def _coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(w) for w in words], np.int64)
-    codes = np.zeros((len(words), max(1, int(lengths.max(initial=0)))), np.int64)
+    codes = np.zeros((max(1, int(lengths.max(initial=0))), len(words)), np.int16)  # a row for each place in a word
     for i, w in enumerate(words):
-        codes[i, : len(w)] = _CODES[np.minimum(np.fromiter(map(ord, w), np.int64, len(w)), 65535)]
+        codes[: len(w), i] = _CODES[np.minimum(np.fromiter(map(ord, w), np.int64, len(w)), 65535)]
     return codes, lengths
 
 
@@ -157,12 +158,12 @@ def distances(word: str, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     vp, vn = np.full(n, ~np.uint64(0)), np.zeros(n, np.uint64)
     score, top = np.full(n, m, np.int64), np.uint64(m - 1)
     for j in range(int(lengths.max(initial=0))):
-        eq = peq[codes[:, j]]
+        eq = peq[codes[j]]
         xv = eq | vn
         xh = (((eq & vp) + vp) ^ vp) | eq
         hp = vn | ~(xh | vp)
         hn = vp & xh
-        score += np.where(j < lengths, ((hp >> top) & one).astype(np.int64) - ((hn >> top) & one).astype(np.int64), 0)
+        score += (((hp >> top) & one).astype(np.int8) - ((hn >> top) & one).astype(np.int8)) * (j < lengths)
         hp = (hp << one) | one
         hn = hn << one
         vp = hn | ~(xv | hp)
@@ -189,7 +190,7 @@ class BKTree:
             node, below = todo.pop()
             order.append((node, below))
             if len(below):
-                d = distances(self.words[node], codes[below], lengths[below])
+                d = distances(self.words[node], codes[:, below], lengths[below])
                 for k in np.unique(d):
                     part = below[d == k]
                     self.children[node][int(k)] = int(part[0])
@@ -212,7 +213,8 @@ class BKTree:
             who = who[(lengths[who] >= self.short[node] - radius) & (lengths[who] <= self.long[node] + radius)]
             if not len(who):
                 continue
-            d = distances(self.words[node], codes[who], lengths[who])
+            most = int(lengths[who].max())
+            d = distances(self.words[node], codes[:most, who], lengths[who])
             for i in np.flatnonzero(d <= radius):
                 found[who[i]].append((self.words[node], int(d[i])))
             for k, child in self.children[node].items():
@@ -280,6 +282,19 @@ class Matcher:
         return out
 
 
+def _chunks(batches, rows: int):
+    """Batches in lists of about so many rows: the more values go down the tree together, the less each costs."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 @lru_cache(maxsize=4)
 def _matcher(entries: tuple[tuple[str, str], ...]) -> Matcher:
     return Matcher(list(entries))
@@ -307,9 +322,11 @@ def to_reference(values: DataFrame, value_col: str, reference: DataFrame, ref_id
     def one(entries):
         def run(batches):
             matcher = _matcher(entries.value)
-            for batch in batches:
-                got = matcher.match(batch.column(place).to_pylist())
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int32())], [*columns, "_ref", "_cost"])
+            for chunk in _chunks(batches, TOGETHER):
+                got = iter(matcher.match([v for batch in chunk for v in batch.column(place).to_pylist()]))
+                for batch in chunk:
+                    own = [next(got) for _ in range(batch.num_rows)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in own], pa.string()), pa.array([g[1] for g in own], pa.int32())], [*columns, "_ref", "_cost"])
 
         return values.mapInArrow(run, schema)
 
