@@ -13,9 +13,10 @@ from parcelforge.llm.address import parse
 from parcelforge.llm.canonical import osa
 from parcelforge.operators.skew import heavy_frame, heavy_keys, lookup
 
-WINDOW = 8  # established spellings on either side that a rare one is compared with, in every pass
-RARE = 0.1  # a spelling below this share of the usual number of uses (weighted by use) is not established
-OUTWEIGHS = 4  # an established spelling has at least so many times the uses of its slips
+WINDOW = 8  # heavier spellings of each level on either side that a spelling is compared with, in every pass
+OUTWEIGHS = 4  # a right spelling has at least so many times the uses of its slips; also the step from level to level
+FEW = 10_000  # a level of at most so many words is known to all tasks
+IN_PLACES = 0.5  # share of a word's uses that stand where places do, from which it is a place
 OWN_PLACE = 0.8  # share of a place's uses in one postcode district from which the place belongs to it
 HOT_CLASS = 2_000  # records of one location beyond which its pairs are made in several tasks
 _PARSED = "rec string, unit string, street string, lead array<string>, places array<string>, postcode string"
@@ -37,22 +38,31 @@ def parsed(records: DataFrame) -> DataFrame:
     return known.repartition(tasks, "rec", "address").dropDuplicates().mapInArrow(run, _PARSED)
 
 
-def _compare(rows: list[tuple], window: int, links: list[tuple], across: bool) -> None:
-    """rows: (block, key, word, weight, settled, part) in order; each word against the established ones of its block within the window."""
-    settled = [i for i, r in enumerate(rows) if r[4]]
-    for i, (block, _, word, weight, _, part) in enumerate(rows):
+def _compare(rows: list[tuple], window: int, links: list[tuple], across: bool, levels: list[int], hot: dict[int, list[tuple]]) -> None:
+    """rows: (block, key, word, weight, part) in order; each word against the nearest of its block in each level of weight,
+    those of the rows (levels) and those known to all tasks (hot: (block, key, word, weight) in order)."""
+    at_level = {t: [i for i, r in enumerate(rows) if r[3] >= t] for t in levels}
+    for i, (block, key, word, weight, part) in enumerate(rows):
         stem, _, tail = word.partition("|")
-        at = bisect.bisect_left(settled, i)
-        for j in settled[max(0, at - window) : at + window + 1]:
-            other = rows[j]
-            if other[0] != block or other[3] < OUTWEIGHS * weight or across and other[5] == part:
+        near: set[tuple] = set()
+        for t, at in at_level.items():
+            if t > weight:
+                j = bisect.bisect_left(at, i)
+                near.update(rows[k][:4] for k in at[max(0, j - window) : j + window + 1] if not (across and rows[k][4] == part))
+        for t, known in hot.items():
+            if t > weight:
+                j = bisect.bisect_left(known, (block, key, word))
+                near.update(known[max(0, j - window) : j + window + 1])
+        for block2, _, word2, weight2 in near:
+            if block2 != block or weight2 < OUTWEIGHS * weight:
                 continue
-            stem2, _, tail2 = other[2].partition("|")
-            if tail != tail2:  # type and side of a street are strict
+            stem2, _, tail2 = word2.partition("|")
+            most = 2 if len(stem) >= 12 and len(stem2) >= 12 else 1
+            if tail != tail2 or abs(len(stem) - len(stem2)) > most:  # type and side of a street are strict
                 continue
             edits = osa(stem, stem2, 2)
-            if 0 < edits <= (2 if len(stem) >= 12 and len(stem2) >= 12 else 1):
-                links.append((block, word, other[2], edits, other[3]))
+            if 0 < edits <= most:
+                links.append((block, word, word2, edits, weight2))
 
 
 def _side_by_side(*steps) -> list:
@@ -61,71 +71,78 @@ def _side_by_side(*steps) -> list:
         return [f.result() for f in [pool.submit(s) for s in steps]]
 
 
-def least_uses(words: DataFrame) -> float:
-    """How many uses a word of (word, uses) needs to be established: RARE of the usual number, at least two."""
-    usual = words.agg((F.sum(F.col("uses") * F.col("uses")) / F.sum("uses")).alias("u")).first()["u"] or 0.0
-    return max(2.0, RARE * usual)
-
-
 def spellings(words: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(block, word, to), stored: for words of (block, word, uses) the established word of the same block they are a slip of.
+    """(block, word, to), stored: for words of (block, word, uses) the right word of the same block they are a slip of.
 
     A word's weight is the uses of what stands before its first `|`, in all blocks together: a street's name that other
-    streets bear, too, is no slip, however rare the street. It is established from least_uses on, and has slips of at
-    most a quarter of its weight (OUTWEIGHS).
+    streets bear, too, is no slip, however rare the street. Whether a word is a slip is judged by the words beside it
+    alone: the right one has OUTWEIGHS times its weight or more and is itself a slip of none. So no hot word changes
+    what is right elsewhere.
 
     Two passes of a sorted neighbourhood, one over the words and one over the words reversed, so that a slip at either
-    end leaves the word among its neighbours in one of them. Rows are range-sorted by block and key; in each range,
-    a word is compared with the nearest established ones on both sides: by edits with swaps as one, of which one
-    is allowed, or two in words of twelve letters or more; what follows a `|` must be equal. As only established
-    words fill the window, any number of slips around a word can't push it out. The ends of the ranges go to one small
-    table, on which the neighbourhoods that cross ranges are compared. Fewest edits win, then most uses.
+    end leaves the word among its neighbours in one of them. Every level of weight (4 and more, 16 and more, ...) has a
+    window of its own: a word is compared with the nearest words of each level above it on both sides, by edits with
+    swaps as one, of which one is allowed, or two in words of twelve letters or more; what follows a `|` must be equal.
+    So no number of slips around a word can push it out, nor can the many slips of a hot word. Levels of FEW words or
+    less go to all tasks; for the others rows are range-sorted by block and key, and the ends of the ranges go to one
+    small table, on which the neighbourhoods that cross ranges are compared. Fewest edits win, then most uses.
     """
     import pyarrow as pa
 
     words = words.withColumn("stem", F.substring_index("word", "|", 1))
     stems = cut(words.groupBy("stem").agg(F.sum("uses").alias("uses")), "stems")
-    weights = stems.select("stem", F.col("uses").alias("weight"), (F.col("uses") >= least_uses(stems)).alias("settled"))
+    weights = stems.select("stem", F.col("uses").alias("weight"))
     marked = cut(lookup(words.select("block", "word", "stem"), weights, "stem"), "marked")
-    layout = "block string, word string, to string, edits int, weight bigint, part int, place bigint, key string, settled boolean, edge boolean"
+    layout = "block string, word string, to string, edits int, weight bigint, part int, place bigint, key string, edge boolean"
+    heaviest = marked.agg(F.max("weight")).first()[0] or 0
+    steps = [OUTWEIGHS**k for k in range(1, 32) if OUTWEIGHS**k <= heaviest]
+    counts = marked.agg(F.lit(0), *[F.count_if(F.col("weight") >= t) for t in steps]).first()[1:]
+    levels = [t for t, n in zip(steps, counts) if n > FEW]
+    few = [t for t, n in zip(steps, counts) if n <= FEW]
+    heavy = [tuple(r) for r in marked.where(F.col("weight") >= few[0]).select("block", "word", "weight").collect()] if few else []
 
     def batch_of(links, edges):
         cols = {
             "block": [x[0] for x in links] + [x[0] for x in edges], "word": [x[1] for x in links] + [x[2] for x in edges], "to": [x[2] for x in links] + [None] * len(edges),
-            "edits": [x[3] for x in links] + [0] * len(edges), "weight": [x[4] for x in links] + [x[3] for x in edges], "part": [0] * len(links) + [x[5] for x in edges],
-            "place": [0] * len(links) + [x[6] for x in edges], "key": [None] * len(links) + [x[1] for x in edges], "settled": [False] * len(links) + [x[4] for x in edges], "edge": [False] * len(links) + [True] * len(edges),
+            "edits": [x[3] for x in links] + [0] * len(edges), "weight": [x[4] for x in links] + [x[3] for x in edges], "part": [0] * len(links) + [x[4] for x in edges],
+            "place": [0] * len(links) + [x[5] for x in edges], "key": [None] * len(links) + [x[1] for x in edges], "edge": [False] * len(links) + [True] * len(edges),
         }
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.bool_())
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_())
         return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(cols.values(), kinds)], list(cols))
 
-    def within(batches):
+    def within(batches, hot):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        rows = [(*r, part) for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("block", "key", "word", "weight", "settled")))]
+        rows = [(*r, part) for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("block", "key", "word", "weight")))]
         links: list[tuple] = []
-        _compare(rows, window, links, False)
-        settled = [i for i, r in enumerate(rows) if r[4]]
-        head = settled[window - 1] + 1 if len(settled) > window else len(rows)
-        tail = settled[-window] if len(settled) > window else 0
+        _compare(rows, window, links, False, levels, hot)
+        head, tail = 0, len(rows)
+        for t in levels:
+            at = [i for i, r in enumerate(rows) if r[3] >= t]
+            head = max(head, at[window - 1] + 1 if len(at) > window else len(rows))
+            tail = min(tail, at[-window] if len(at) > window else 0)
         yield batch_of(links, [(*rows[i], i) for i in range(len(rows)) if i < head or i >= tail])
 
     def across(batches):
-        rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("part", "place", "block", "key", "word", "weight", "settled")))), key=lambda r: r[:2])
+        rows = sorted((r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("part", "place", "block", "key", "word", "weight")))), key=lambda r: r[:2])
         links: list[tuple] = []
-        _compare([(*r[2:], r[0]) for r in rows], window, links, True)
+        _compare([(*r[2:], r[0]) for r in rows], window, links, True, levels, {})
         yield batch_of(links, [])
 
     ranges = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, so that few bytes with much to compare aren't put into one task
 
-    def one_pass(key: Column) -> DataFrame:
+    def one_pass(key: Column, key_of) -> DataFrame:
+        known = sorted((block, key_of(word), word, weight) for block, word, weight in heavy)
+        hot = {t: [r for r in known if r[3] >= t] for t in few}
         order = [F.col("block"), F.col("key"), F.col("word")]
-        near = cut(marked.withColumn("key", key).repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(within, layout), "neighbours")
+        near = cut(marked.withColumn("key", key).repartitionByRange(ranges, *order).sortWithinPartitions(*order).mapInArrow(lambda batches: within(batches, hot), layout), "neighbours")
         ends = near.where("edge").coalesce(1).mapInArrow(across, layout)
         return near.where("not edge").unionByName(ends)
 
-    forward, backward = _side_by_side(lambda: one_pass(F.col("word")), lambda: one_pass(F.reverse("stem")))
+    forward, backward = _side_by_side(lambda: one_pass(F.col("word"), lambda w: w), lambda: one_pass(F.reverse("stem"), lambda w: w.partition("|")[0][::-1]))
     found = forward.unionByName(backward)
+    found = found.join(found.select("block", F.col("word").alias("to")).distinct(), ["block", "to"], "left_anti")
     return cut(found.groupBy("block", "word").agg(F.min_by("to", F.struct("edits", -F.col("weight"), "to")).alias("to")), "spellings")
 
 
@@ -152,17 +169,16 @@ def locations(records: DataFrame) -> DataFrame:
     base = cut(parsed(records), "parsed")
     district = F.expr("substr(postcode, 1, length(postcode) - 3)")
     base = base.withColumn("district", F.when(F.length("postcode") > 4, district))
-    seen = base.select("district", F.explode(F.array_union("places", F.filter("lead", lambda x: ~x.contains(" ")))).alias("word"))
-    uses = cut(seen.groupBy("word", "district").agg(F.count(F.lit(1)).alias("uses")), "uses")
+    seen = base.select("district", "places", F.explode(F.array_union("places", F.filter("lead", lambda x: ~x.contains(" ")))).alias("word"))
+    uses = cut(seen.groupBy("word", "district").agg(F.count(F.lit(1)).alias("uses"), F.count_if(F.array_contains("places", F.col("word"))).alias("after")), "uses")
     links = spellings(uses.groupBy("word").agg(F.sum("uses").alias("uses")).select(F.lit("place").alias("block"), "word", "uses"))
-    uses = cut(_corrected(uses, links, F.lit("place"), "word").groupBy("word", "district").agg(F.sum("uses").alias("uses")), "uses")
+    uses = cut(_corrected(uses, links, F.lit("place"), "word").groupBy("word", "district").agg(F.sum("uses").alias("uses"), F.sum("after").alias("after")), "uses")
     located = uses.where("district is not null")
     top = located.groupBy("word").agg(F.max_by("district", F.struct("uses", "district")).alias("main"), (F.max("uses") / F.sum("uses")).alias("share"), F.sum("uses").alias("total"))
-    least = least_uses(uses.groupBy("word").agg(F.sum("uses").alias("uses")))
-    # Established words only: (word, area if it is a place of one district). A word that never has a postcode is an area of its own.
-    place = uses.groupBy("word").agg(F.sum("uses").alias("uses")).where(F.col("uses") >= least).join(top, "word", "left")
-    place = cut(place.select("word", F.when(F.col("main").isNull(), F.col("word")).when(F.col("share") >= OWN_PLACE, F.col("main")).alias("area")), "places")
-    towns = cut(located.join(place.where("area is null").select("word"), "word").join(top.select("word", "total"), "word").where(F.col("uses") >= 0.02 * F.col("total")).select("word", "district"), "towns")
+    # Repeated words without digits that stand where places do; the names of houses stand before the street. A word that never has a postcode is an area of its own, where no other names one.
+    place = uses.groupBy("word").agg(F.sum("uses").alias("uses"), F.sum("after").alias("after")).where((F.col("uses") > 1) & (F.col("after") >= IN_PLACES * F.col("uses")) & ~F.col("word").rlike("[0-9]")).join(top, "word", "left")
+    place = cut(place.select("word", F.when(F.col("share") >= OWN_PLACE, F.col("main")).alias("area"), F.when(F.col("main").isNull(), F.col("word")).alias("own")), "places")
+    towns = cut(located.join(place.where("area is null and own is null").select("word"), "word").join(top.select("word", "total"), "word").where(F.col("uses") >= 0.02 * F.col("total")).select("word", "district"), "towns")
 
     # The words of each record, looked up once: which of them are places, and which area they name.
     numbered = base.withColumn("row", F.monotonically_increasing_id())
@@ -170,9 +186,9 @@ def locations(records: DataFrame) -> DataFrame:
     words = numbered.select("row", F.explode(F.array_union("places", F.flatten(F.transform("lead", lambda x: F.split(x, " "))))).alias("word")).withColumn("spelt", F.col("word"))
     words = lookup(cut(_corrected(words, links, F.lit("place"), "word"), "words"), place.withColumn("known", F.lit(True)), "word", "left")
     named = words.groupBy("row").agg(
-        F.max("area").alias("named"), F.collect_set(F.when(F.col("known"), F.col("spelt"))).alias("place_words"), F.min(F.when(F.col("known") & F.col("area").isNull(), F.col("word"))).alias("town")
+        F.max("area").alias("named"), F.max("own").alias("own"), F.collect_set(F.when(F.col("known"), F.col("spelt"))).alias("place_words"), F.min(F.when(F.col("known") & F.col("area").isNull() & F.col("own").isNull(), F.col("word"))).alias("town")
     )
-    joined = numbered.join(named, "row", "left").withColumn("area", F.coalesce("named", "district"))
+    joined = numbered.join(named, "row", "left").withColumn("area", F.coalesce("named", "district", "own"))
     # A house's name: the last words before the street that are no places; with a number, only if it is an established name (below).
     bare = F.transform("lead", lambda x: F.array_join(F.filter(F.split(x, " "), lambda w: ~F.array_contains(F.coalesce("place_words", F.array().cast("array<string>")), w)), " "))
     joined = cut(joined.withColumn("house", F.try_element_at(F.filter(bare, lambda x: x != ""), F.lit(-1))), "joined")

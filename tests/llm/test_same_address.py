@@ -79,3 +79,37 @@ def test_pairs(spark):
         mine = {p for p in got if p[0].startswith("r") and p[1].startswith("r")}
         assert mine == {(a, b) for a in own for b in own if a < b}
     assert pairs(locations(df.limit(0))).count() == 0
+
+
+def test_hot_street_changes_nothing_elsewhere(spark):
+    rng = random.Random(7)
+    stems = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(40)]
+    slips = {s[:3] + s[4:]: s for s in stems}
+    cold = [("x", f"{s}|road|", 8) for s in stems] + [("x", f"{s}|road|", 1) for s in slips]
+    crowd = [("x", f"{'greshwick'[:i]}{c}{'greshwick'[i:]}|road|", 30) for i in range(10) for c in "aeiou"]  # slips that are used more than the cold streets
+    for hot in ([], [("x", "greshwick|road|", 160)], [("x", "greshwick|road|", 100_000), *crowd]):
+        got = {r.word: r.to for r in spellings(spark.createDataFrame(cold + hot, "block string, word string, uses long")).collect()}
+        assert {w.partition("|")[0]: t.partition("|")[0] for w, t in got.items() if w.partition("|")[0] in slips} == slips
+        assert not {f"{s}|road|" for s in stems} & set(got) and all(got[w] == "greshwick|road|" for _, w, _ in crowd if hot[1:])
+
+
+def test_levels_too_large_for_all_tasks(spark, monkeypatch):
+    from parcelforge.llm import same_address
+
+    rng = random.Random(8)
+    stems = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(5)) for _ in range(300)]
+    rows = [("x", f"{s}|road|", rng.choice([5, 20, 90])) for s in stems] + [("x", f"{s[:4]}{s[5:]}|road|", 1) for s in stems]
+    df = spark.createDataFrame(rows, "block string, word string, uses long")
+    known = {tuple(r) for r in spellings(df).collect()}
+    monkeypatch.setattr(same_address, "FEW", 20)
+    assert len(known) >= 295 and {tuple(r) for r in spellings(df).collect()} == known
+
+
+def test_pairs_beside_a_hot_street(spark):
+    cold = [(f"c{i}{j}", f"{j} {s} Road, Smallham") for i, s in enumerate(("Alder", "Birchen", "Cedar")) for j in range(1, 9)]
+    hot = [(f"h{i}", f"{i % 40 + 1} Mill Lane, Oakham, AB1 {i % 9}XY") for i in range(400)]
+    other = [("o1", "3 Alder Road, Oakham"), ("o2", "4 Alder Road, Oakham, AB1 2XY")]
+    wrong = [("s1", "3 Aldr Road, Smallham"), ("s2", "4 Birhcen Road, Smallhamm")]
+    df = spark.createDataFrame(cold + hot + other + wrong, "rec string, address string")
+    got = {(r.rec_a, r.rec_b) for r in pairs(locations(df)).collect()}
+    assert {p for p in got if not (p[0][0] == p[1][0] == "h")} == {("c03", "s1"), ("c14", "s2")}
