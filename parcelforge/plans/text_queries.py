@@ -92,6 +92,12 @@ def road_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("row_id", F.explode(X.road_phrases(F.col("original_address"), 3)).alias("phrase"))
 
 
+def wide_road_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Road phrases of all widths from 2 to 5; road_phrases has those of 2 and 3."""
+    g = table(spark, sf_dir, "geocoder_rows")
+    return g.select("row_id", F.explode(X.road_phrases(F.col("original_address"))).alias("phrase"))
+
+
 def site_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "geocoder_rows")
     return g.select("row_id", X.site_phrase(F.col("original_address")).alias("site")).where("site is not null")
@@ -141,7 +147,7 @@ def phrase_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     norm_variants, abbrev_roads, case_keys, parsed_flags, gazetteer_numbers, case_addresses, piped_anchors, page_text, postcode_sets, address_tokens, house_numbers, range_cases,
-    relation_counts, road_phrases, site_phrases, before_road, grid_references, token_similarity, gestalt_ratio, lexicon_mentions, longest_mention, phrase_elements,
+    relation_counts, road_phrases, wide_road_phrases, site_phrases, before_road, grid_references, token_similarity, gestalt_ratio, lexicon_mentions, longest_mention, phrase_elements,
 )}
 
 _ABBR = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in N.ABBREVIATIONS.items()) + "}"
@@ -199,6 +205,9 @@ ORACLES = {
     "road_phrases": f"""with s as (select row_id, list_filter(string_split({_up('original_address')}, ' '), lambda w: w <> '') as w from geocoder_rows),
         z as (select row_id, w, unnest(range(1, len(w) + 1)) as i from s), r as (select row_id, w[i - n + 1 : i] as r from z, (values (2), (3)) v(n) where w[i] in ({", ".join(f"'{x}'" for x in X.SUFFIXES)}) and n <= i and i > 1)
         select distinct row_id, array_to_string(r, ' ') as phrase from r where r[1] not in ({_STOP}) and not regexp_matches(r[1], '^[0-9]+[A-Z]?$')""",
+    "wide_road_phrases": f"""with s as (select row_id, list_filter(string_split({_up('original_address')}, ' '), lambda w: w <> '') as w from geocoder_rows),
+        z as (select row_id, w, unnest(range(1, len(w) + 1)) as i from s), r as (select row_id, w[i - n + 1 : i] as r from z, (values (2), (3), (4), (5)) v(n) where w[i] in ({", ".join(f"'{x}'" for x in X.SUFFIXES)}) and n <= i and i > 1)
+        select distinct row_id, array_to_string(r, ' ') as phrase from r where r[1] not in ({_STOP}) and not regexp_matches(r[1], '^[0-9]+[A-Z]?$')""",
     "site_phrases": "select row_id, trim(split_part(original_address, ',', 1)) as site from geocoder_rows where original_address like '%,%' and trim(split_part(original_address, ',', 1)) <> '' and not regexp_matches(split_part(original_address, ',', 1), '[0-9]')",
     "before_road": f"""with s as (select row_id, {_up('original_address')} as a, {_up("split_part(lexicon_road, '|', 1)")} as r from geocoder_rows where lexicon_road is not null)
         select row_id, case when strpos(a, r) > 0 then rtrim(substr(a, 1, strpos(a, r) - 1)) end as before from s""",
