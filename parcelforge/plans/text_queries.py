@@ -115,6 +115,14 @@ def grid_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "g.easting", "g.northing")
 
 
+def all_grid_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every grid reference of a text that follows the words, in the forms that grid_reference() knows, with its position; grid_references has the first of two forms."""
+    d = table(spark, sf_dir, "documents").where(F.col("text").isNotNull())
+    found = F.regexp_extract_all("text", F.lit(r"(?i)grid reference ([0-9]{6}\s*[,/ ]\s*[0-9]{6,7}\b|[0-9]{3}[ /][0-9]{3}\b)"), 1)
+    d = d.select("doc_id", F.posexplode(found).alias("pos", "at")).withColumn("g", X.grid_reference(F.col("at"), 400000, 300000))
+    return d.select("doc_id", "pos", "g.easting", "g.northing")
+
+
 def token_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = table(spark, sf_dir, "geocoder_rows")
     a, b = N.words(N.expanded(F.col("original_address"))), N.words(N.expanded(F.col("best_address_final")))
@@ -147,7 +155,7 @@ def phrase_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     norm_variants, abbrev_roads, case_keys, parsed_flags, gazetteer_numbers, case_addresses, piped_anchors, page_text, postcode_sets, address_tokens, house_numbers, range_cases,
-    relation_counts, road_phrases, wide_road_phrases, site_phrases, before_road, grid_references, token_similarity, gestalt_ratio, lexicon_mentions, longest_mention, phrase_elements,
+    relation_counts, road_phrases, wide_road_phrases, site_phrases, before_road, grid_references, all_grid_references, token_similarity, gestalt_ratio, lexicon_mentions, longest_mention, phrase_elements,
 )}
 
 _ABBR = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in N.ABBREVIATIONS.items()) + "}"
