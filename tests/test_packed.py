@@ -9,6 +9,7 @@ from parcelforge.operators.packed import ESCAPE, MARK, NARROW, WIDE, unpack
 CASES = [
     ("a; b", ["a", "b"]), ('"a, b"|c', ["a, b", "c"]), ('"x ""y"" z" / w', ['x "y" z', "w"]), ("||a||b||", ["a", "b"]), ('["g", "h"]', ["g", "h"]), ("a,,a", ["a", "a"]),
     ("", []), ("  ", []), (" | ", []), ('""', []), ('a "b', ['a "b']), (f"{MARK}0{MARK}; b", [f"{MARK}0{MARK}", "b"]), (f'"{ESCAPE}e;"; {ESCAPE}f{MARK}', [f"{ESCAPE}e;", f"{ESCAPE}f{MARK}"]), ('k:"a|b" | c', ['k:"a|b"', "c"]), ("a\tb\nc", ["a", "b", "c"]), ('"a"', ["a"]),
+    ('k:"a;b"="c;d"|z', ['k:"a;b"="c;d"', "z"]), ("x|" + " " * 12 + '"a;b"|z', ["x", "a;b", "z"]), (" " * 40 + '"a;b"', ["a;b"]), ("x|\n\n" + "\xa0" * 11 + '"a;b"', ["x", "a;b"]), ('a=  "b;c" "d"; e', ['a=  "b;c" "d"', "e"]), ('"a;  ""b"" ;"', ['a;  "b" ;']), ('"a"b;c', ['"a"b', "c"]),
 ]
 
 
@@ -54,6 +55,6 @@ def test_against_brute_force(spark, rows):
     assert got == {i: brute(t) for i, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize("text", ["a" * 200_000, "|" * 50_000])
+@pytest.mark.parametrize("text", ["a" * 200_000, "|" * 50_000, "\n" * 50_000 + '"|', " " * 50_000 + '|"'])
 def test_very_long(spark, text):
-    assert unpack(spark.createDataFrame([(1, text)], "id int, t string"), "t", ["id"]).count() == (1 if "a" in text else 0)
+    assert unpack(spark.createDataFrame([(1, text)], "id int, t string"), "t", ["id"]).count() == (1 if "a" in text or '"' in text else 0)
