@@ -8,7 +8,7 @@ import numpy as np
 class Trees:
     """Logistic boosting with depth-wise trees; a feature's values are 0..255 and a split asks `value <= cut`."""
 
-    def __init__(self, rounds: int = 48, depth: int = 5, rate: float = 0.25, ridge: float = 1.0, least: float = 1.0, share: float = 0.6):
+    def __init__(self, rounds: int = 64, depth: int = 5, rate: float = 0.25, ridge: float = 1.0, least: float = 1.0, share: float = 0.6):
         self.rounds, self.depth, self.rate, self.ridge, self.least, self.share = rounds, depth, rate, ridge, least, share
         self.base = 0.0
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []

@@ -1,8 +1,14 @@
+import os
+
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from parcelforge.llm import pii
 from parcelforge.llm.boosting import Trees, best_threshold
+from parcelforge.llm.pii_sample import FAMILIES
+
+DATA = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
@@ -24,30 +30,48 @@ def test_threshold():
     assert best_threshold(np.array([0.9]), np.array([0.0])) == 0.5
 
 
-def test_held_out_accuracy(model):
-    """On labelled sentences of another seed, by kind."""
-    held = pii.training_set(1500, 12345)
-    for kind, (x, y) in held.items():
-        trees, least = model[kind]
-        said = trees.probability(x) >= least
-        assert (said & (y > 0)).sum() / max(1, said.sum()) > 0.97, kind
-        assert (said & (y > 0)).sum() / y.sum() > 0.97, kind
+UNSEEN = [("letters", "reports", "transport", "technical"), ("forms", "minutes", "web", "notes"), ("orders", "directory", "court", "languages")]
+
+
+@pytest.mark.parametrize("unseen", UNSEEN)
+def test_accuracy_on_unseen_families(unseen):
+    """Fitted without whole families of frames, asked for the personal data in texts of those families."""
+    model = pii.fitted(6000, 5, tuple(f for f in FAMILIES if f not in unseen))
+    held = pii.sample(1500, 12345, list(unseen))
+    found = pii.find([t for t, _ in held], model)
+    for kind in pii.KINDS:
+        want = {(n, s) for n, (_, labels) in enumerate(held) for k, s in labels if k == kind}
+        got = {(n, s[1]) for n, spans in enumerate(found) for s in spans if s[0] == kind}
+        precision, recall = len(want & got) / len(got), len(want & got) / len(want)
+        print(unseen, kind, len(want), round(precision, 3), round(recall, 3))
+        assert precision > 0.8 and recall > 0.8, (kind, precision, recall)
+
+
+def test_sample_does_not_quote_the_documents():
+    """No piece of a frame of twelve characters or more stands in the test documents."""
+    import re
+
+    if not os.path.isdir(DATA):
+        pytest.skip("no test tables here")
+    texts = [t.lower() for t in pq.read_table(f"{DATA}/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    whole = "\n".join(dict.fromkeys(texts))
+    pieces = {p.lower() for frames in FAMILIES.values() for line in frames.splitlines() for p in re.split(r"\{\w\}|\\n", line) if len(p) >= 12}
+    assert len(pieces) > 100 and not [p for p in pieces if p in whole]
 
 
 FOUND = [
     ("Dear Mrs Alderton, thank you.", [("person_name", 5)]),
     ("Contact jo.bloggs@mail.example.net or +44 (0)7700 900 123.", [("email", 8), ("phone", 38)]),
-    ("write to jo at bloggs dot example.", [("email", 9)]),
-    ("National insurance no. QQ 12 34 56 C was given on the grant form.", [("id_number", 23)]),
-    ("The applicant, Mr and Mrs Elsdon, lives at Flat 2, 14 Mill Lane, Oakham.", [("person_name", 15), ("street_address", 43)]),
-    ("Fax header: (029) 20180123 p.7", [("phone", 12)]),
-    ("Works at Rose Cottage, Mill Lane, Oakham began without consent.", [("street_address", 9)]),
-    ("Sheet QQ/12/34 refers, together with AB 12 CD.", []),
-    ("Charge number 492992663160 was cancelled.", []),
-    ("Plot 64, land off Mill Lane, is excluded from the notice.", []),
-    ("Elsdon & Sons Ltd acted as agent in the earlier application 81/01574/OUT.", []),
-    ("The nearest dwelling is about 22 metres from Mill Lane.", []),
-    ("", []), ("   ", []), (None, []), ("\x00​", []), ("x" * 300_000, []), ("7 " * 50_000, None),
+    ("You may write to jo at bloggs dot example.", [("email", 17)]),
+    ("Her insurance number, QQ 12 34 56 C, is on the slip.", [("id_number", 22)]),
+    ("Mr and Mrs Elsdon rent Flat 2, 14 Mill Lane, Oakham.", [("person_name", 0), ("street_address", 23)]),
+    ("The parcel for Rose Cottage, Mill Lane, Oakham came back.", [("street_address", 15)]),
+    ("Invoice 492992663160 is paid.", []),
+    ("Lots QQ/12/34 and AB 12 CD were sold.", []),
+    ("Elsdon & Sons Ltd mended the roof.", []),
+    ("The pond is some 22 metres from Mill Lane.", []),
+    ("We met at the corner of Mill Lane and Station Road.", []),
+    ("", []), ("   ", []), (None, []), ("\x00​", []), ("x" * 300_000, []), ("7 " * 50_000, None), ("Mill Lane, " * 20_000, None), ("word " * 60_000, None),
 ]
 
 
