@@ -9,11 +9,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.engine import spread
+from parcelforge.engine import cut, spread
+from parcelforge.operators.skew import lookup
 
 RADIUS = 2  # edits (insert, delete, replace) within which the tree returns every entry; two neighbours swapped are two
 SHARD = 50_000  # entries of the reference that one broadcast tree holds at most
 TOGETHER = 40_000  # values that go down the tree together
+WORD_BITS = 64  # characters of a word whose distances fit in one machine number
 REMEMBERED = 1 << 17  # values whose answer a worker keeps
 
 # Abbreviations of street words, and words that only say where at a street something is.
@@ -147,7 +149,7 @@ def _coded(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def distances(word: str, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Levenshtein distance of a word to many, column by column with the differences of a column in the bits of a number.
 
-    Characters outside a-z and 0-9 count as one. The word may have up to 64 characters.
+    Characters outside a-z and 0-9 count as one. The word may have up to WORD_BITS characters.
     """
     one = np.uint64(1)
     m = len(word)
@@ -171,26 +173,53 @@ def distances(word: str, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return score
 
 
-class BKTree:
-    """Entries under Levenshtein distance, a true metric; a child hangs at its distance from its parent."""
+def long_distance(a: str, b: str) -> int:
+    """As distances(), for one pair of words of any length: the same columns in numbers of any size."""
+    peq = [0] * 38
+    for i, c in enumerate(a):
+        peq[_CODES[min(ord(c), 65535)]] |= 1 << i
+    full = (1 << len(a)) - 1
+    top = len(a) - 1
+    vp, vn, score = full, 0, len(a)
+    for c in b:
+        eq = peq[_CODES[min(ord(c), 65535)]]
+        xv = eq | vn
+        xh = ((((eq & vp) + vp) ^ vp) | eq) & full
+        hp = (vn | ~(xh | vp)) & full
+        hn = vp & xh
+        score += (hp >> top & 1) - (hn >> top & 1)
+        hp, hn = (hp << 1 | 1) & full, hn << 1 & full
+        vp, vn = (hn | ~(xv | hp)) & full, hp & xv
+    return score
+
+
+class _Tree:
+    """One BK-tree: a child hangs at its distance from its parent. Words of up to WORD_BITS characters, or longer ones only."""
 
     def __init__(self, words: list[str]):
-        self.words = list(dict.fromkeys(w[:64] for w in words if w))
-        self.children: list[dict[int, int]] = []
-        if self.words:
-            codes, lengths = _coded(self.words)
-            self._grow(codes, lengths)
-
-    def _grow(self, codes, lengths) -> None:
-        self.children = [{} for _ in self.words]
+        self.words = words
+        self.wide = max(map(len, words), default=0) > WORD_BITS
+        self.children: list[dict[int, int]] = [{} for _ in words]
+        lengths = np.array([len(w) for w in words], np.int64)
         self.short, self.long = lengths.copy(), lengths.copy()
-        todo = [(0, np.arange(1, len(self.words)))]
-        order = []
+        if words:
+            self._grow(*self._coded(words), lengths)
+
+    def _coded(self, words: list[str]):
+        return (words, None) if self.wide else (words, _coded(words)[0])
+
+    def _distances(self, node: int, words: list[str], codes, who: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        if self.wide:
+            return np.array([long_distance(self.words[node], words[i]) for i in who], np.int64)
+        return distances(self.words[node], codes[: int(lengths[who].max(initial=0)), who], lengths[who])
+
+    def _grow(self, words, codes, lengths) -> None:
+        todo, order = [(0, np.arange(1, len(words)))], []
         while todo:
             node, below = todo.pop()
             order.append((node, below))
             if len(below):
-                d = distances(self.words[node], codes[:, below], lengths[below])
+                d = self._distances(node, words, codes, below, lengths)
                 for k in np.unique(d):
                     part = below[d == k]
                     self.children[node][int(k)] = int(part[0])
@@ -200,47 +229,78 @@ class BKTree:
                 self.short[node] = min(self.short[node], lengths[below].min())
                 self.long[node] = max(self.long[node], lengths[below].max())
 
-    def search(self, queries: list[str], radius: int = RADIUS) -> list[list[tuple[str, int]]]:
-        """For each query every entry within the radius, with its distance. All queries go down the tree together; by the
-        triangle inequality only children within radius of a query's own distance can hold what it looks for."""
-        found: list[list[tuple[str, int]]] = [[] for _ in queries]
-        if not self.words or not queries:
-            return found
-        codes, lengths = _coded([q[:96] for q in queries])
-        todo = [(0, np.arange(len(queries)))]
+    def search(self, queries: list[str], radius: int):
+        """(place of the query, word, distance) of every word within the radius."""
+        if not self.words:
+            return
+        lengths = np.array([len(q) for q in queries], np.int64)
+        at = np.flatnonzero((lengths >= self.short[0] - radius) & (lengths <= self.long[0] + radius))  # before anything is laid out by length
+        if not len(at):
+            return
+        words, codes = self._coded([queries[i] for i in at])
+        lengths = lengths[at]
+        todo = [(0, np.arange(len(at)))]
         while todo:
             node, who = todo.pop()
             who = who[(lengths[who] >= self.short[node] - radius) & (lengths[who] <= self.long[node] + radius)]
             if not len(who):
                 continue
-            most = int(lengths[who].max())
-            d = distances(self.words[node], codes[:most, who], lengths[who])
+            d = self._distances(node, words, codes, who, lengths)
             for i in np.flatnonzero(d <= radius):
-                found[who[i]].append((self.words[node], int(d[i])))
+                yield int(at[who[i]]), self.words[node], int(d[i])
             for k, child in self.children[node].items():
                 near = np.abs(d - k) <= radius
                 if near.any():
                     todo.append((child, who[near]))
+
+
+class BKTree:
+    """Entries under Levenshtein distance, a true metric: one tree of those that fit a machine number, one of the longer ones."""
+
+    def __init__(self, words: list[str]):
+        own = list(dict.fromkeys(w for w in words if w))
+        self.trees = [_Tree([w for w in own if len(w) <= WORD_BITS]), _Tree([w for w in own if len(w) > WORD_BITS])]
+
+    def search(self, queries: list[str], radius: int = RADIUS) -> list[list[tuple[str, int]]]:
+        """For each query every entry within the radius, with its distance. All queries go down the tree together; by the
+        triangle inequality only children within radius of a query's own distance can hold what it looks for."""
+        found: list[list[tuple[str, int]]] = [[] for _ in queries]
+        for tree in self.trees:
+            for i, word, d in tree.search(queries, radius):
+                found[i].append((word, d))
         return found
 
 
+def near_options(keys: list[str], tree: BKTree) -> dict[str, list[tuple[str, int, int]]]:
+    """(entry, edits with a swap as one, edits) of the entries one edit or swap from each key of more than four letters;
+    entries of fewer than six take none, as they would be other words."""
+    keys = [k for k in keys if len(k) > 4]
+    out = {}
+    for k, near in zip(keys, tree.search(keys)):
+        rows = [(entry, d if d < 2 else osa(k, entry), d) for entry, d in near if len(entry) >= 6]
+        out[k] = [r for r in rows if r[1] <= 1]
+    return out
+
+
 class Matcher:
     """The entry that a value means, of a reference list (or a shard of it)."""
 
     def __init__(self, entries: list[tuple[str, str]]):
         self.by_key: dict[str, tuple[str, str]] = {}
         for ref, name in sorted(entries):
-            if name and name.strip():
-                for k in keys_of(name):
+            for k in keys_of(name):
+                if k:
                     self.by_key.setdefault(k, (ref, name))
         stems: dict[str, list[tuple[str, str]]] = {}
         for entry in dict.fromkeys(self.by_key.values()):
             if bare := stem(entry[1]):
                 stems.setdefault(bare, []).append(entry)
+        single: dict[str, tuple[str, str]] = {}
         for bare, streets in stems.items():  # what only one street of the list is called names it without its type, too
             if len(streets) == 1:
                 for k in fold(bare):
-                    self.by_key.setdefault(k, streets[0])
+                    single[k] = min(single.get(k, streets[0]), streets[0])
+        self.by_key = single | self.by_key
         self.tree = BKTree(list(self.by_key))
         self.known: dict[str, tuple[str, int]] = {}
 
@@ -266,15 +326,9 @@ class Matcher:
                     self.known[v] = self._choose(exact)
                 else:
                     open_[v] = read
-        keys = list(dict.fromkeys(k for read in open_.values() for k, _ in read if len(k) > 4))
-        near = dict(zip(keys, self.tree.search(keys)))
+        near = near_options(list(dict.fromkeys(k for read in open_.values() for k, _ in read)), self.tree)
         for v, read in open_.items():
-            options = []
-            for k, rank in read:
-                for entry, d in near.get(k, ()):
-                    edits = d if d < 2 else osa(k, entry)
-                    if edits <= 1 and len(entry) >= 6:
-                        options.append((edits, rank, d, self.by_key[entry][0]))
+            options = [(edits, rank, d, self.by_key[entry][0]) for k, rank in read for entry, edits, d in near.get(k, ())]
             self.known[v] = self._choose(options) if options else ("", 99)
         out = [self.known[v] if o is None else o for v, o in zip(values, out)]
         if len(self.known) > REMEMBERED:
@@ -300,44 +354,112 @@ def _matcher(entries: tuple[tuple[str, str], ...]) -> Matcher:
     return Matcher(list(entries))
 
 
+def _readings(values: DataFrame) -> DataFrame:
+    """(value, key, rank) of distinct values."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            rows = [(v, k, rank) for v in batch.column(0).to_pylist() for k, rank in readings(v)]
+            cols = list(zip(*rows)) if rows else [[], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32()))], ["value", "key", "rank"])
+
+    return values.mapInArrow(run, "value string, key string, rank int")
+
+
+def _key_table(names: DataFrame) -> DataFrame:
+    """(key, id), stored: what Matcher files under each key, made of (id, name) without bringing them together."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            rows = [(k, i, name, stem(name), fold(stem(name)) if stem(name) else []) for i, name in zip(*(batch.column(c).to_pylist() for c in (0, 1))) for k in keys_of(name) if k]
+            cols = list(zip(*rows)) if rows else [[] for _ in range(5)]
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], ["key", "id", "name", "stem", "stem_keys"])
+
+    filed = names.mapInArrow(run, "key string, id string, name string, stem string, stem_keys array<string>")
+    first = cut(filed.groupBy("key").agg(F.min(F.struct("id", "name", "stem", "stem_keys")).alias("e")), "keys")
+    streets = first.select("e.*").where("stem <> ''").distinct()
+    single = streets.groupBy("stem").agg(F.count(F.lit(1)).alias("n"), F.first(F.struct("id", "name", "stem_keys")).alias("e")).where("n = 1")
+    single = single.select(F.explode("e.stem_keys").alias("key"), F.struct("e.id", "e.name").alias("e")).groupBy("key").agg(F.min("e").alias("e"))
+    own = first.select("key", F.col("e.id").alias("id"))
+    return cut(own.unionByName(single.join(own, "key", "left_anti").select("key", "e.id")), "key_table")
+
+
+def _near(queries: DataFrame, keys: DataFrame, shard: int) -> DataFrame:
+    """(key, id, edits, d) of the entries near each key, from shards of at most about `shard` entries.
+
+    Entries are sharded by their length, then by hash, so that a query goes only to the shards whose lengths its radius
+    reaches; each shard's tree answers its queries, in groups of bounded size, in one task.
+    """
+    import pyarrow as pa
+
+    sized = keys.withColumn("size", F.length("key")).where("size >= 6")
+    asked = queries.withColumn("size", F.length("key")).where("size > 4")
+    parts = {r["size"]: -(-r["n"] // shard) for r in sized.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per length
+    spark = keys.sparkSession
+    plan = spark.createDataFrame([(size, n) for size, n in parts.items()], "at int, parts int")
+    salts = max(1, -(-asked.count() // (8 * TOGETHER)))
+    entries = sized.join(F.broadcast(plan), F.col("size") == F.col("at")).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    entries = entries.select("at", "part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.col("key").alias("entry"), "id")
+    wide = asked.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(salts)).cast("int")).withColumn("at", F.explode(F.sequence(F.col("size") - RADIUS, F.col("size") + RADIUS)))
+    wide = wide.join(F.broadcast(plan), "at").select("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "salt", "key")
+
+    def run(left, right):
+        ids = dict(zip(right.column("entry").to_pylist(), right.column("id").to_pylist()))
+        found = near_options(left.column("key").to_pylist(), BKTree(sorted(ids)))
+        rows = [(k, ids[entry], edits, d) for k, options in found.items() for entry, edits, d in options]
+        cols = list(zip(*rows)) if rows else [[] for _ in range(4)]
+        return pa.Table.from_arrays([pa.array(list(c), t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int32(), pa.int32()))], ["key", "id", "edits", "d"])
+
+    by = ["at", "part", "salt"]
+    return wide.groupBy(*by).cogroup(entries.groupBy(*by)).applyInArrow(run, "key string, id string, edits int, d int")
+
+
 def to_reference(values: DataFrame, value_col: str, reference: DataFrame, ref_id: str, ref_name: str, shard: int = SHARD) -> DataFrame:
     """values with `ref_id`: the id of the entry of reference that value_col means, or "" if none.
 
     A value means the entry whose key (see keys_of) is nearest to one of its readings, at most one edit or one swap away;
-    equally near ones make it none. A street's name without its type stands for it if no other street of the list has it. Of entries with the same key the one with the least id stands. A null or blank
-    value means none. A reference of up to `shard` entries, which is checked, is broadcast as one tree and every row is
-    answered where it lies; a larger one is split into shards, each broadcast in a pass of its own, and the winners of
-    the shards are merged by cost.
+    equally near ones make it none. A street's name without its type stands for it if no other street of the list has
+    it. Of entries with the same key the one with the least id stands. A null or blank value means none; every row of
+    values comes out once, repeated ones as often as they came. Words of fewer than four letters are no reading, keys of
+    fewer than five and entries of fewer than six letters are matched without edits only.
+
+    A reference of up to `shard` entries, which is checked, is broadcast as one tree and every row is answered where it
+    lies. A larger one is split into shards (_near), each with a tree of its own; distinct values are read once, their
+    keys go to the shards they can reach, and what all shards offer is decided by the same rule: both ways give the same rows.
     """
     import pyarrow as pa
 
     spark = values.sparkSession
     names = reference.select(F.col(f"`{ref_id}`").cast("string").alias("id"), F.col(f"`{ref_name}`").cast("string").alias("name")).where("id is not null and name is not null")
-    parts = max(1, -(-names.count() // shard))
     columns = values.columns
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema.fields), "_ref string, _cost int"])
-    place = columns.index(value_col)
-    values = spread(values)
+    if names.count() <= shard:
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in values.schema.fields), "_ref string"])
+        place = columns.index(value_col)
+        entries = spark.sparkContext.broadcast(tuple((r["id"], r["name"]) for r in names.collect()))
 
-    def one(entries):
         def run(batches):
             matcher = _matcher(entries.value)
             for chunk in _chunks(batches, TOGETHER):
                 got = iter(matcher.match([v for batch in chunk for v in batch.column(place).to_pylist()]))
                 for batch in chunk:
-                    own = [next(got) for _ in range(batch.num_rows)]
-                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in own], pa.string()), pa.array([g[1] for g in own], pa.int32())], [*columns, "_ref", "_cost"])
-
-        return values.mapInArrow(run, schema)
-
-    if parts == 1:
-        entries = spark.sparkContext.broadcast(tuple((r["id"], r["name"]) for r in names.collect()))
-        return one(entries).withColumnRenamed("_ref", "ref_id").drop("_cost")
-    sharded = names.withColumn("_shard", F.pmod(F.xxhash64(F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")), F.lit(parts)))
-    merged = None
-    for s in range(parts):
-        entries = spark.sparkContext.broadcast(tuple((r["id"], r["name"]) for r in sharded.where(F.col("_shard") == s).collect()))
-        merged = one(entries) if merged is None else merged.unionByName(one(entries))
-    best = merged.groupBy(*[F.col(f"`{c}`") for c in columns]).agg(F.min(F.struct("_cost", "_ref")).alias("_b"), F.collect_set(F.struct("_cost", "_ref")).alias("_all"))
-    tied = F.size(F.filter("_all", lambda x: x["_cost"] == F.col("_b._cost"))) > 1  # at most one per shard
-    return best.withColumn("ref_id", F.when(tied, F.lit("")).otherwise(F.col("_b._ref"))).select(*[F.col(f"`{c}`") for c in columns], "ref_id")
+                    own = [next(got)[0] for _ in range(batch.num_rows)]
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.string())], [*columns, "_ref"])
+
+        return spread(values).mapInArrow(run, schema).withColumnRenamed("_ref", "ref_id")
+    keys = _key_table(names)
+    read = cut(_readings(spread(values.select(F.col(f"`{value_col}`").alias("value")).where("value is not null").distinct())), "readings")
+    exact = cut(lookup(read, keys, "key").select("value", F.lit(0).alias("edits"), "rank", F.lit(0).alias("d"), "id"), "exact")
+    open_ = cut(read.join(exact.select("value").distinct(), "value", "left_anti"), "open")
+    near = cut(_near(open_.select("key").distinct(), keys, shard), "near")
+    options = exact.unionByName(open_.join(near, "key").select("value", "edits", "rank", "d", "id"))
+    # _choose, by aggregates: the least cost, then, if it has several ids, the least distance at that cost.
+    at_d = options.groupBy("value", "edits", "rank", "d").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    at_rank = at_d.groupBy("value", "edits", "rank").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min_by(F.struct("lo", "hi"), "d").alias("n"))
+    best = at_rank.groupBy("value").agg(F.min_by(F.struct("lo", "hi", "n"), F.struct("edits", "rank")).alias("b"))
+    answer = F.when(F.col("b.lo") == F.col("b.hi"), F.col("b.lo")).when(F.col("b.n.lo") == F.col("b.n.hi"), F.col("b.n.lo")).otherwise(F.lit(""))
+    chosen = cut(best.select(F.col("value").alias("_value"), answer.alias("_ref")), "chosen")
+    out = lookup(values.withColumn("_value", F.col(f"`{value_col}`")), chosen, "_value", "left")
+    return out.select(*[F.col(f"`{c}`") for c in columns], F.coalesce("_ref", F.lit("")).alias("ref_id"))
