@@ -113,3 +113,43 @@ def test_pairs_beside_a_hot_street(spark):
     df = spark.createDataFrame(cold + hot + other + wrong, "rec string, address string")
     got = {(r.rec_a, r.rec_b) for r in pairs(locations(df)).collect()}
     assert {p for p in got if not (p[0][0] == p[1][0] == "h")} == {("c03", "s1"), ("c14", "s2")}
+
+
+def test_small_place_beside_a_large_one(spark):
+    """Every address of a small place meets its twin without postcode, however large a town with a street of the same name is."""
+    small = [(f"s{n:02}", f"{n} Mill Lane, Smallby, SB1 2AB") for n in range(1, 61)] + [(f"t{n:02}", f"{n} Mill Lane, Smallby") for n in range(1, 61)]
+    want = {(f"s{n:02}", f"t{n:02}") for n in range(1, 61)}
+    for size in (120, 20_000):
+        big = [(f"z{n}", f"{n % 997 + 1} {('Mill Lane', 'High Street', 'Station Road')[n % 3]}, Bigtown, BT{n % 3 + 1} {n % 9}XY") for n in range(size)]
+        found = pairs(locations(spark.createDataFrame(small + big, "rec string, address string")))
+        assert {tuple(r) for r in found.where("rec_a like 's%' or rec_a like 't%'").collect()} == want
+
+
+def test_slip_of_a_street_hardly_named(spark):
+    rows = [("q1", "7 Quarry Lane, Smallby, SB1 2AB"), ("q2", "7 Quarry Lane, Smallby"), ("q3", "No 7 Quarry Lane, Smallby"), ("q4", "7 Qaurry Lane, Smallby"), ("n1", "9 Quarry Lane, Smallby"), ("n2", "7 Quarry Close, Smallby"), ("n3", "7a Qaurry Lane, Smallby"),
+            ("h1", "3 Mill Lane, Smallby"), ("h2", "3 Hill Lane, Smallby"), ("h3", "3 Mill Lane, Smallby, SB1 2AB"), ("p1", "12 Thornbrok Road, Elmford, AB7 3XY"), ("p2", "12 Thornbrook Road, Elmford, AB7 3XY"), ("c1", "Rose Cottage, Elm Road, Elmford, AB7 3XZ"), ("c2", "Rose Cotage, Elm Road, Elmford, AB7 3XZ")]
+    got = {tuple(r) for r in pairs(locations(spark.createDataFrame(rows, "rec string, address string"))).collect()}
+    q = ["q1", "q2", "q3", "q4"]
+    assert got == {(a, b) for a in q for b in q if a < b} | {("h1", "h3"), ("p1", "p2"), ("c1", "c2")}
+
+
+def test_windows_against_all_pairs(spark):
+    """Links of the passes against all pairs of classes by the same rule, a third of them in one street."""
+    from parcelforge.llm.same_address import _alike, _Entry, neighbours
+
+    rng = random.Random(18)
+    stems = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(5)) for _ in range(80)]
+    rows = {}
+    for i in range(1500):
+        s = stems[0] if i % 3 == 0 else rng.choice(stems)
+        area, unit, code = rng.choice(["a", "b"]), f"//{rng.randrange(1, 200)}", rng.choice(["", f"ab{rng.randrange(40)}xy"])
+        rows.setdefault((area, s, unit, ""), (code, 50))
+        if rng.random() < 0.2:
+            w = slip(rng, s)
+            if w not in stems:
+                rows.setdefault((area, w, unit, ""), (rng.choice([code, ""]), 1))
+    entries = [_Entry("\t".join(k), k[2], k[1], "|road||", k[3], k[0], code, n) for k, (code, n) in rows.items()]
+    want = {(min(x.location, y.location), max(x.location, y.location)) for x in entries for y in entries if x.location != y.location and x.unit == y.unit and _alike(x, y)}
+    df = spark.createDataFrame(entries, "location string, unit string, stem string, tail string, house string, area string, postcode string, uses long")
+    got = {tuple(r) for r in neighbours(df).collect()}
+    assert got <= want and len(want) > 150 and len(got) >= 0.95 * len(want)
