@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import bisect
 from collections import deque
+from concurrent.futures import ThreadPoolExecutor
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -70,6 +71,12 @@ def _compare(rows: list[tuple], window: int, links: list[tuple], across: bool, l
                 links.append((block, word, word2, edits, weight2))
 
 
+def _side_by_side(*steps) -> list:
+    """The results of steps that don't need each other, run at the same time."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(s) for s in steps]]
+
+
 class _Stored(list):
     """The tables stored on the way to a result; all but the result go when it is there."""
 
@@ -157,7 +164,8 @@ def spellings(words: DataFrame, window: int = WINDOW) -> DataFrame:
             return near
         return near.where("boundary is null").unionByName(near.where("boundary is not null").groupBy("boundary").applyInArrow(across, layout))
 
-    found = one_pass(F.col("word"), lambda w: w).unionByName(one_pass(F.reverse(F.substring_index("word", "|", 1)), lambda w: w.partition("|")[0][::-1]))
+    forward, backward = _side_by_side(lambda: one_pass(F.col("word"), lambda w: w), lambda: one_pass(F.reverse(F.substring_index("word", "|", 1)), lambda w: w.partition("|")[0][::-1]))
+    found = forward.unionByName(backward)
     found = stored.cut(found.select("block", "word", "to", "edits", "weight"), "found")
     right = found.join(found.select("block", F.col("word").alias("to")).distinct(), ["block", "to"], "left_anti")
     out = cut(right.groupBy("block", "word").agg(F.min_by("to", F.struct("edits", -F.col("weight"), "to")).alias("to")), "spellings")
@@ -254,13 +262,17 @@ def neighbours(classes: DataFrame, window: int = WINDOW) -> DataFrame:
 
     stored = _Stored()
     keyed = classes.withColumn("backwards", F.reverse("stem"))
-    found = None
-    for name, order in ORDERS.items():
+
+    def one_pass(name: str, order: list[str]) -> DataFrame:
         part = keyed.where(F.col(name) != "") if name in ("postcode", "house") else keyed.withColumn("postcode", F.lit("")).distinct()
         by = [*map(F.col, order), F.col("location")]
         near = stored.cut(part.repartitionByRange(ranges, *by).sortWithinPartitions(*by).select(*fields).mapInArrow(within, layout), "windows")
-        both = near.where("boundary is null").select("a", "b").unionByName(near.where("boundary is not null").groupBy("boundary").applyInArrow(across, layout).select("a", "b"))
-        found = both if found is None else found.unionByName(both)
+        return near.where("boundary is null").select("a", "b").unionByName(near.where("boundary is not null").groupBy("boundary").applyInArrow(across, layout).select("a", "b"))
+
+    passes = _side_by_side(*[lambda name=name, order=order: one_pass(name, order) for name, order in ORDERS.items()])
+    found = passes[0]
+    for more in passes[1:]:
+        found = found.unionByName(more)
     out = cut(found.distinct(), "links")
     stored.drop()
     return out
