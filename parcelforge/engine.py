@@ -31,8 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: what spark.checkpoint.dir names. Where it is unset, a temporary folder for a
-    local session, and one beside the tables of the warehouse for a cluster."""
+    """The folder that all executors share: what spark.checkpoint.dir names. Where it is unset, a local session, which is one
+    machine, gets a temporary folder, and a cluster an error."""
     app = spark.sparkContext.applicationId
     known = next((f for f in _made if f.endswith(f"/parcelforge-{app}")), None)
     if known:
@@ -40,7 +40,9 @@ def shared_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         local = spark.sparkContext.master.split("[")[0] == "local"
-        base = "file://" + tempfile.mkdtemp(prefix="parcelforge-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        if not local:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="parcelforge-")
     folder = f"{base.rstrip('/')}/parcelforge-{app}"
     _made[folder] = spark
     atexit.register(_remove, folder)

@@ -44,3 +44,24 @@ def running_total(df: DataFrame, order_by: list[Column], weight: Column, total:
     if rank:
         out = out.withColumn(rank, F.col("_ordered_at") - 1 + F.col("_ordered_rows_before"))
     return out.drop("_ordered_w", "_ordered_run", "_ordered_at", "_part", "_row", "_ordered_p", "_ordered_before", "_ordered_rows_before", *[f"_k_{c}" for c in within])
+
+
+def following(df: DataFrame, order_by: list[Column], within: list[str], names: dict[str, str], label: str = "following") -> DataFrame:
+    """df with, for each (new name, column) of names, the column's value in the next row of the order (within, order_by); null in a group's last row.
+
+    A group of any size: rows are range-sorted, the next row is looked for in the range, and a group's last row in a
+    range takes the first one of the group in a later range, of which there is one row per range and group. Rows with
+    a null in `within` form a group, too. order_by must be total within a group.
+    """
+    kept = range_ordered(df, [*[F.col(c) for c in within], *order_by], label)
+    inside = Window.partitionBy(*within, "_part").orderBy("_row")
+    values = F.struct(*[F.col(c).alias(n) for n, c in names.items()])
+    out = kept.withColumn("_next", F.lead(values).over(inside))
+    firsts = kept.groupBy(*within, "_part").agg(F.min_by(values, "_row").alias("_first"))
+    later = firsts.withColumn("_first", F.lead("_first").over(Window.partitionBy(*within).orderBy("_part"))).where("_first is not null")
+    later = later.select(*[F.col(c).alias(f"_k_{c}") for c in within], F.col("_part").alias("_k_part"), "_first")
+    cond = F.col("_part") == F.col("_k_part")
+    for c in within:
+        cond = cond & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    out = out.join(later, cond, "left").withColumn("_next", F.coalesce("_next", "_first"))
+    return out.select(*df.columns, *[F.col(f"_next.{n}").alias(n) for n in names])

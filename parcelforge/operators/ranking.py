@@ -32,13 +32,12 @@ def portfolio(df: DataFrame, group: str, base_order: list[Column], other_order:
     other order among the rest (those for which `other` holds), then the rest in base order.
 
     Only the heads of both orders can take part, and they are cut before anything is gathered by group (Spark limits each
-    partition's groups ahead of the window), so a large group costs no more than a small one.
+    partition's groups ahead of the window), so a large group costs no more than a small one. Equal rows are one candidate.
     """
     other = F.coalesce(other, F.lit(False)) if other is not None else F.lit(True)
     base = placed(df, group, base_order, "_base").where(F.col("_base") <= keep + extra + top)
     second = placed(df.where(other), group, other_order, "_other").where(F.col("_other") <= keep + extra).drop("_other")
-    key = F.struct(*[F.col(c) for c in df.columns])
-    few = base.drop("_base").unionByName(second).withColumn("_key", F.xxhash64(key)).dropDuplicates(["_key", *[group]]).drop("_key")
+    few = base.drop("_base").unionByName(second).distinct()
     w = Window.partitionBy(group)
     few = few.withColumn("_base", F.row_number().over(w.orderBy(*base_order)))
     rest = (F.col("_base") > keep) & other

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,11 @@ LEAST = 100_000  # and more than so many rows
 def heavy_keys(df: DataFrame, keys: list[str], least: int = LEAST, share: float = SHARE) -> list[tuple]:
     """(key..., rows) of the keys that hold more than max(least, share of all) rows: at most 1 / share of them."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.count()
-    if total <= least:
-        return []
-    return [tuple(r) for r in counts.where(F.col("_n") > max(least, int(total * share))).collect()]
+    most = counts.where(F.col("_n") > least).orderBy(F.desc("_n")).limit(math.ceil(1 / share)).select(F.struct(*keys).alias("_k"), "_n")
+    whole = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_n")).select(F.lit(None).alias("_k"), "_n")
+    rows = most.unionByName(whole).collect()  # one job: both read the same counts
+    total = next(r["_n"] for r in rows if r["_k"] is None)
+    return [(*r["_k"], r["_n"]) for r in rows if r["_k"] is not None and r["_n"] > total * share]
 
 
 def heavy_frame(df: DataFrame, keys: list[str], heavy: list[tuple], least: int) -> DataFrame:

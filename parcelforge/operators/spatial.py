@@ -23,19 +23,21 @@ def _cell(v: Column, size: Column | float) -> Column:
     return F.floor(v / size).cast("double")  # double: a far coordinate can't overflow
 
 
-def split_hot(left: DataFrame, right: DataFrame, keys: list[str], hot: int = HOT_CELL) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides with a further key `_salt`, so that no key has more than about `hot` rows of left in one task.
+def split_hot(left: DataFrame, right: DataFrame, keys: list[str], left_id: list[str], right_id: list[str], hot: int = HOT_CELL) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with further keys, so that no key has more than about `hot` rows of either side in one task.
 
-    Keys of left are counted (with map-side combining); those beyond `hot`, of which there is a bounded number
-    (heavy_keys), are dealt into parts, and the rows of right with such a key are repeated once per part.
+    Keys of each side are counted (with map-side combining); those beyond `hot`, of which there is a bounded number
+    (heavy_keys), are dealt into parts by a hash of the side's id columns, and the rows of the other side with such a
+    key are repeated once per part.
     """
-    heavy = heavy_keys(left, keys, hot)
-    if not heavy:
-        return left, right, keys
-    salts = F.broadcast(heavy_frame(left, keys, heavy, hot))
-    left = left.join(salts, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("id", "x", "y"), F.col("_salts").cast("bigint")).cast("int"), F.lit(0))).drop("_salts")
-    right = right.join(salts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
-    return left, right, [*keys, "_salt"]
+    sides = [left, right]
+    for own, other, ids, salt in ((0, 1, left_id, "_salt"), (1, 0, right_id, "_salt_right")):
+        heavy = heavy_keys(sides[own], keys, hot)
+        if heavy:
+            salts = F.broadcast(heavy_frame(sides[own], keys, heavy, hot))
+            sides[own] = sides[own].join(salts, keys, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*ids), F.col("_salts").cast("bigint")).cast("int"), F.lit(0))).drop("_salts")
+            sides[other] = sides[other].join(salts, keys, "left").withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+    return sides[0], sides[1], [*keys, *[c for c in ("_salt", "_salt_right") if c in sides[0].columns]]
 
 
 def within_distance(points: DataFrame, others: DataFrame, point: tuple[str, str, str], other: tuple[str, str, str], radius: float, hot: int = HOT_CELL) -> DataFrame:
@@ -52,7 +54,7 @@ def within_distance(points: DataFrame, others: DataFrame, point: tuple[str, str,
     reach = lambda v: F.array_distinct(F.array(_cell(F.col(v) - radius, side), _cell(F.col(v) + radius, side)))
     p = p.withColumn("cx", F.explode(reach("x"))).withColumn("cy", F.explode(reach("y")))
     o = o.withColumns({"cx": _cell(F.col("ox"), side), "cy": _cell(F.col("oy"), side)})
-    p, o, keys = split_hot(p, o, ["cx", "cy"], hot)
+    p, o, keys = split_hot(p, o, ["cx", "cy"], ["id", "x", "y"], ["other_id", "ox", "oy"], hot)
     d2 = (F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy"))
     return p.join(o, keys).where(d2 <= radius * radius).select("id", "other_id", F.sqrt(d2).alias("distance_m"))
 
@@ -66,6 +68,11 @@ def inside_boxes(points: DataFrame, boxes: DataFrame, point: tuple[str, str, str
     exponents of a double), in practice a handful; they are listed once. A square with a null, non-finite or negative
     number is nowhere; one of side 0 holds the points on its centre.
     """
+    return _in_boxes(points, boxes, point, box, hot).select("id", "box_id")
+
+
+def _in_boxes(points: DataFrame, boxes: DataFrame, point: tuple[str, str, str], box: tuple[str, str, str, str], hot: int) -> DataFrame:
+    """inside_boxes, with the points' places: (id, x, y, box_id)."""
     p = points.select(F.col(point[0]).alias("id"), F.col(point[1]).cast("double").alias("x"), F.col(point[2]).cast("double").alias("y")).where(finite(F.col("x"), F.col("y"))).distinct()
     b = boxes.select(F.col(box[0]).alias("box_id"), *[F.col(c).cast("double").alias(a) for c, a in zip(box[1:], ("bx", "by", "side"))])
     b = b.where(finite(F.col("bx"), F.col("by"), F.col("side")) & (F.col("side") >= 0)).distinct()
@@ -77,9 +84,9 @@ def inside_boxes(points: DataFrame, boxes: DataFrame, point: tuple[str, str, str
     b = b.withColumn("cx", F.explode(reach("bx"))).withColumn("cy", F.explode(reach("by")))
     p = p.withColumn("level", F.explode(F.array(*[F.lit(v) for v in levels]).cast("array<int>")))
     p = p.withColumns({"cx": _cell(F.col("x"), cell), "cy": _cell(F.col("y"), cell)})
-    p, b, keys = split_hot(p, b, ["level", "cx", "cy"], hot)
+    p, b, keys = split_hot(p, b, ["level", "cx", "cy"], ["id", "x", "y"], ["box_id", "bx", "by"], hot)
     held = (F.abs(F.col("x") - F.col("bx")) <= half) & (F.abs(F.col("y") - F.col("by")) <= half)
-    return p.join(b, keys).where(held).select("id", "box_id")
+    return p.join(b, keys).where(held).select("id", "x", "y", "box_id")
 
 
 def near_in_group(left: DataFrame, right: DataFrame, group: str, left_xy: tuple[str, str], right_xy: tuple[str, str], radius: float, hot: int = HOT_CELL) -> DataFrame:
@@ -95,17 +102,18 @@ def near_in_group(left: DataFrame, right: DataFrame, group: str, left_xy: tuple[
     a = left.where(finite(x, y) & F.col(group).isNotNull()).withColumns({"id": F.monotonically_increasing_id(), "x": x, "y": y})
     a = a.withColumn("cx", F.explode(reach(F.col("x")))).withColumn("cy", F.explode(reach(F.col("y"))))
     b = right.where(finite(ox, oy) & F.col(group).isNotNull()).withColumns({"_ox": ox, "_oy": oy}).withColumns({"cx": _cell(ox, side), "cy": _cell(oy, side)})
-    a, b, keys = split_hot(a, b, [group, "cx", "cy"], hot)
+    a, b, keys = split_hot(a, b.withColumn("_right", F.monotonically_increasing_id()), [group, "cx", "cy"], ["id"], ["_right"], hot)
     d = F.hypot(F.col("x") - F.col("_ox"), F.col("y") - F.col("_oy"))
-    return a.join(b, keys).withColumn("distance_m", d).where(F.col("distance_m") <= radius).drop("id", "x", "y", "_ox", "_oy", "cx", "cy", "_salt")
+    return a.join(b, keys).withColumn("distance_m", d).where(F.col("distance_m") <= radius).drop("id", "x", "y", "_ox", "_oy", "cx", "cy", "_salt", "_salt_right", "_right")
 
 
 def inside_polygons(points: DataFrame, polygons: DataFrame, point: tuple[str, str, str], polygon: tuple[str, str], hot: int = HOT_CELL) -> DataFrame:
     """Distinct (id, polygon_id) of points in, or on an edge of, polygons given as WKB; holes are outside.
 
     The polygons' boxes meet the points in grids of the boxes' own magnitudes (as in inside_boxes: a box that isn't
-    square is taken as the square around it); what is in a box is tested exactly, by Arrow batches in which each polygon
-    is decoded once. Null, damaged and other geometries hold nothing.
+    square is taken as the square around it). What is in a box is tested exactly: the points of a polygon's box follow the
+    polygon in one sorted stream, so that its WKB travels and is decoded once, not once per point; a polygon whose box
+    holds more than `hot` points comes in several such streams. Null, damaged and other geometries hold nothing.
     """
     import pyarrow as pa
 
@@ -113,21 +121,31 @@ def inside_polygons(points: DataFrame, polygons: DataFrame, point: tuple[str, st
 
     g = polygons.select(F.col(polygon[0]).alias("polygon_id"), F.col(polygon[1]).alias("wkb")).where("wkb is not null").distinct().withColumn("s", shape(F.col("wkb"))).where("s.minx is not null")
     g = g.withColumns({"px": (F.col("s.minx") + F.col("s.maxx")) / 2, "py": (F.col("s.miny") + F.col("s.maxy")) / 2, "side": F.greatest(F.col("s.maxx") - F.col("s.minx"), F.col("s.maxy") - F.col("s.miny"))})
-    keyed = g.withColumn("key", F.xxhash64("polygon_id", "wkb"))
-    held = inside_boxes(points, keyed.withColumn("box", F.struct("polygon_id", "key")), point, ("box", "px", "py", "side"), hot)
-    at = points.select(F.col(point[0]).alias("id"), F.col(point[1]).cast("double").alias("x"), F.col(point[2]).cast("double").alias("y")).where(finite(F.col("x"), F.col("y"))).distinct()
-    tested = held.join(at, "id").select("id", "x", "y", F.col("box_id.key").alias("key"), F.col("box_id.polygon_id").alias("polygon_id")).join(keyed.select("key", "polygon_id", "wkb"), ["key", "polygon_id"])
-    kinds = {f.name: f.dataType.simpleString() for f in tested.schema.fields}
+    keyed = g.withColumn("key", F.struct("polygon_id", F.md5("wkb").alias("shape")))
+    held = _in_boxes(points, keyed, point, ("key", "px", "py", "side"), hot).withColumnRenamed("box_id", "key")
+    shapes = keyed.select("key", "wkb")
+    heavy = heavy_keys(held, ["key"], hot)
+    if heavy:
+        salts = F.broadcast(heavy_frame(held, ["key"], heavy, hot))
+        held = held.join(salts, "key", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id", "x", "y"), F.col("_salts").cast("bigint")).cast("int"), F.lit(0))).drop("_salts")
+        shapes = shapes.join(salts, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts")
+    else:
+        held, shapes = held.withColumn("salt", F.lit(0)), shapes.withColumn("salt", F.lit(0))
+    kinds = dict(held.dtypes)
+    first = shapes.select("key", "salt", "wkb", F.lit(None).cast(kinds["id"]).alias("id"), F.lit(None).cast("double").alias("x"), F.lit(None).cast("double").alias("y"))
+    stream = first.unionByName(held.select("key", "salt", F.lit(None).cast("binary").alias("wkb"), "id", "x", "y"))
+    stream = stream.repartition("key", "salt").sortWithinPartitions("key", "salt", F.col("wkb").isNull())
+    named = stream.select("id", F.col("key.polygon_id").alias("polygon_id"), "x", "y", "wkb")
 
     def run(batches):
+        shape: list = []
         for batch in batches:
-            known: dict[bytes, list] = {}
             keep = []
             for x, y, wkb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if wkb not in known:
-                    known[wkb] = rings(wkb)
-                keep.append(contains(known[wkb], x, y))
+                if wkb is not None:
+                    shape = rings(wkb)
+                keep.append(wkb is None and contains(shape, x, y))
             yield batch.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    out = tested.select("id", "polygon_id", "x", "y", "wkb").mapInArrow(run, f"id {kinds['id']}, polygon_id {kinds['polygon_id']}")
+    out = named.mapInArrow(run, f"id {kinds['id']}, polygon_id {dict(polygons.dtypes)[polygon[0]]}")
     return out.distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelforge.engine import table
@@ -12,6 +12,7 @@ from parcelforge.operators import joins as J
 from parcelforge.operators import ranking as R
 from parcelforge.operators import sampling as S
 from parcelforge.operators.cluster import single_link
+from parcelforge.operators.ordered import following, running_total
 from parcelforge.operators.spatial import finite, within_distance
 from parcelforge.operators.suppress import suppress
 
@@ -198,9 +199,9 @@ def nearest_uprn(spark: SparkSession, sf_dir: str) -> DataFrame:
 def road_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A case's road candidates in order as a line: length, and where along it its best point lies nearest."""
     n = table(spark, sf_dir, "name_candidates").where((F.col("kind") == "road_candidate") & finite(F.col("easting"), F.col("northing")) & F.col("case_key").isNotNull())
-    w = Window.partitionBy("case_key").orderBy("cand_no")
-    s = n.select("case_key", "cand_no", F.col("easting").alias("ax"), F.col("northing").alias("ay"), F.lead("easting").over(w).alias("bx"), F.lead("northing").over(w).alias("by")).where("bx is not null")
-    s = s.withColumn("len", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))).withColumn("before", F.coalesce(F.sum("len").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    s = following(n.select("case_key", "cand_no", F.col("easting").alias("ax"), F.col("northing").alias("ay")), [F.col("cand_no")], ["case_key"], {"bx": "ax", "by": "ay"}).where("bx is not null")
+    s = s.withColumn("len", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")))
+    s = running_total(s, [F.col("cand_no")], F.col("len"), "upto", within=["case_key"]).withColumn("before", F.col("upto") - F.col("len"))
     p = table(spark, sf_dir, "point_candidates").where(finite(F.col("easting_27700"), F.col("northing_27700"), F.col("score")))
     best = p.groupBy("case_key").agg(F.max_by(F.struct(F.col("easting_27700").alias("x"), F.col("northing_27700").alias("y")), F.struct("score", "point_id")).alias("p"))
     j = s.join(best, "case_key")
@@ -212,8 +213,7 @@ def road_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points every 200 m between consecutive road candidates of a case."""
     n = table(spark, sf_dir, "name_candidates").where((F.col("kind") == "road_candidate") & finite(F.col("easting"), F.col("northing")) & F.col("case_key").isNotNull())
-    w = Window.partitionBy("case_key").orderBy("cand_no")
-    s = n.select("cand_no", F.col("easting").alias("ax"), F.col("northing").alias("ay"), F.lead("easting").over(w).alias("bx"), F.lead("northing").over(w).alias("by")).where("bx is not null")
+    s = following(n.select("case_key", "cand_no", F.col("easting").alias("ax"), F.col("northing").alias("ay")), [F.col("cand_no")], ["case_key"], {"bx": "ax", "by": "ay"}).where("bx is not null")
     s = s.withColumn("len", F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))).where("len > 0")
     s = s.withColumn("step", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.col("len") / 200))))
     t = F.col("step") * 200 / F.col("len")

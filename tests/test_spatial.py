@@ -119,3 +119,57 @@ def test_near_in_group(spark):
     for hot in (10_000, 4):
         got = [(r.i, r.j) for r in near_in_group(left, right, "g", ("ax", "ay"), ("bx", "by"), 25.0, hot).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def largest_task_share(spark, df):
+    """The share of rows that the fullest task of the last exchange holds."""
+    sizes = [r["count"] for r in df.withColumn("_task", F.spark_partition_id()).groupBy("_task").count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_crowded_cells_are_split_on_either_side(spark):
+    from parcelforge.operators.spatial import split_hot
+
+    crowd = spark.range(60_000).select(F.col("id"), F.when(F.col("id") % 3 == 0, 0.0).otherwise(F.col("id") * 1.0).alias("x"), F.lit(0.0).alias("y"))
+    crowd = crowd.withColumns({"cx": F.floor(F.col("x") / 60), "cy": F.lit(0)})
+    few = spark.createDataFrame([(i, 0, 0) for i in range(3)], "other_id long, cx long, cy int")
+    for left, right, ids in ((crowd, few, (["id"], ["other_id"])), (few, crowd, (["other_id"], ["id"]))):
+        a, b, keys = split_hot(left, right, ["cx", "cy"], *ids, 1_000)
+        full = a if left is crowd else b
+        assert full.groupBy(*keys).count().agg(F.max("count")).first()[0] < 1_500  # of 20,000 rows in one cell
+        assert a.join(b, keys).count() == 3 * 20_000 + 3 * 40  # every pair of equal cells once
+
+
+def test_crowded_polygon(spark):
+    rng = random.Random(9)
+    p = [(i, rng.uniform(-20, 120), rng.uniform(-20, 120)) for i in range(3000)]
+    square = [(0, 0), (100, 0), (100, 100), (0, 100), (0, 0)]
+    hole = [(40, 40), (60, 40), (60, 60), (40, 60), (40, 40)]
+    wkb = struct.pack("<BII", 1, 3, 2) + b"".join(struct.pack("<I", 5) + b"".join(struct.pack("<dd", *c) for c in ring) for ring in (square, hole))
+    a = spark.createDataFrame(p, "id long, x double, y double")
+    g = spark.createDataFrame([("big", bytearray(wkb)), ("again", bytearray(wkb)), ("bad", bytearray(b"\x01")), (None, None)], "pid string, geom binary")
+    want = {(i, name) for i, x, y in p if 0 <= x <= 100 and 0 <= y <= 100 and not (40 < x < 60 and 40 < y < 60) for name in ("big", "again")}
+    for hot in (100_000, 50):
+        got = [(r.id, r.polygon_id) for r in inside_polygons(a, g, ("id", "x", "y"), ("pid", "geom"), hot).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_single_link_in_a_crowd(spark):
+    """Two crowds of many items on few places, joined by a chain; and a third one just too far away."""
+    rows = [("g", i, (i % 7) * 1.0, 0.0) for i in range(3000)] + [("g", 5000 + i, 80.0 + 60.0 * i, 0.0) for i in range(4)] + [("g", 6000 + i, 340.0 + i % 5, 0.0) for i in range(3000)] + [("g", 9000 + i, 425.0, 0.0) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, i int, x double, y double")
+    got = {r.i: r.cluster for r in single_link(df, "g", "i", "x", "y", 80.0).collect()}
+    assert len(got) == len(rows) and {got[i] for i in (*range(3000), *range(5000, 5004), *range(6000, 9000))} == {0} and {got[i] for i in range(9000, 9500)} == {9000}
+
+
+def test_following_rows(spark):
+    from parcelforge.operators.ordered import following
+
+    rng = random.Random(10)
+    rows = [("hot" if i % 3 else rng.choice(["a", "b", None]), i, rng.random()) for i in range(2000)]
+    want, last = {}, {}
+    for g, i, v in sorted(rows, key=lambda r: -r[1]):
+        want[i] = last.get(g)
+        last[g] = v
+    got = {r.i: r.after for r in following(spark.createDataFrame(rows, "g string, i int, v double"), [F.col("i")], ["g"], {"after": "v"}).collect()}
+    assert got == want
