@@ -310,9 +310,20 @@ QUERIES = {f.__name__: f for f in (
 _FIN = "case when isfinite({0}) then {0} end"
 _C = f"""c as (select * from (select case_key, candidate_id, row_id, rule_rank, {_FIN.format('rule_score')} as score, {_FIN.format('best_confidence')} as confidence, {_FIN.format('candidate_area_m2')} as area,
   {_FIN.format('distance_to_best_point_m')} as to_point, {_FIN.format('distance_to_mentioned_road_m')} as to_road, covers_best_point, candidate_source, uprn_count,
+  {_FIN.format('candidate_centroid_easting')} as x, {_FIN.format('candidate_centroid_northing')} as y,
   row_number() over (partition by case_key, candidate_id order by loaded_at desc, row_id desc) as k from polygon_candidates where case_key is not null) where k = 1),
 r as (select *, row_number() over (partition by case_key order by rule_rank asc nulls last, score desc nulls last, candidate_id) as place from c),
 h as (select case_key, count(*) as candidates, min(place) filter (covers_best_point) as first_hit from r group by case_key)"""
+
+
+def walk(metres: float, keep: int) -> str:
+    """SQL of the greedy pass, row by row: z (case_key, id, x, y, n) to w (case_key, id) of those kept."""
+    return f"""step as (select case_key, n, [id] as ids, [x] as xs, [y] as ys from z where n = 1 union all
+        select case_key, m, case when k then list_append(ids, id) else ids end, case when k then list_append(xs, x) else xs end, case when k then list_append(ys, y) else ys end
+        from (select step.*, z.id, z.x, z.y, z.n as m, len(list_filter(range(1, len(xs) + 1), lambda i: sqrt((z.x - xs[i]) * (z.x - xs[i]) + (z.y - ys[i]) * (z.y - ys[i])) < {metres})) = 0 as k from step join z on z.case_key = step.case_key and z.n = step.n + 1 where len(ids) < {keep}) t),
+      w as (select case_key, unnest(ids) as id from (select case_key, ids from step qualify n = max(n) over (partition by case_key)))"""
+
+
 _BOX = "b as (select case_key, box_id, rank, center_x - side_m / 2 as x1, center_y - side_m / 2 as y1, center_x + side_m / 2 as x2, center_y + side_m / 2 as y2 from candidate_boxes where isfinite(center_x) and isfinite(center_y) and isfinite(side_m))"
 _BEST = "best as (select case_key, easting_27700 as x, northing_27700 as y from point_candidates where isfinite(easting_27700) and isfinite(northing_27700) and isfinite(score) and case_key is not null qualify row_number() over (partition by case_key order by score desc, point_id desc) = 1)"
 _DIST = f"with {_BOX}, {_BEST}, d as (select box_id, b.case_key, rank, round(sqrt(greatest(x1 - x, 0, x - x2) * greatest(x1 - x, 0, x - x2) + greatest(y1 - y, 0, y - y2) * greatest(y1 - y, 0, y - y2)), 6) as metres from b join best using (case_key))"
@@ -321,6 +332,13 @@ _SEG = """s as (select case_key, cand_no, easting as ax, northing as ay, lead(ea
 _CASES = "k as (select unique_key, chargegeog, postcode from cases qualify row_number() over (partition by unique_key order by loaded_at desc nulls last, chargegeog desc nulls last, postcode desc nulls last) = 1)"
 
 ORACLES = {
+    "kept_centres": f"with recursive z as (select case_key, box_id as id, center_x as x, center_y as y, row_number() over (partition by case_key order by coalesce({_FIN.format('score')}, -1e9) desc, box_id) as n from candidate_boxes where case_key is not null and isfinite(center_x) and isfinite(center_y)), {walk(65.0, 8)} select case_key, id as box_id from w",
+    "diverse_top": f"with recursive {_C}, z as (select case_key, candidate_id as id, x, y, row_number() over (partition by case_key order by coalesce(rule_rank, 2147483647), coalesce(score, -1e9) desc, candidate_id) as n from c where x is not null and y is not null), {walk(8.0, 5)} select case_key, id as candidate_id from w",
+    "clustered": f"""with recursive z as (select case_key, box_id, center_x as x, center_y as y, rank, {_FIN.format('score')} as s from candidate_boxes where case_key is not null and isfinite(center_x) and isfinite(center_y)),
+      near as (select a.case_key, a.box_id as u, b.box_id as v from z a join z b on a.case_key = b.case_key and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 80),
+      reach as (select u, v from near union select reach.u, near.v from reach join near on near.u = reach.v), l as (select u as box_id, min(v) as cluster from reach group by 1)
+      select case_key, cluster, count(*) as boxes, min(rank) as best_rank, round(sum(s), 6) as sum_score from z join l using (box_id) group by 1, 2""",
+
     "rank_rule": f"with {_C} select case_key, candidate_id, cast(place as int) as place from r where place <= 5",
     "rank_by_score": f"with {_C} select case_key, candidate_id, cast(place as int) as place from (select *, row_number() over (partition by case_key order by score desc nulls last, coalesce(to_point, 1e9), area asc nulls last, candidate_id) as place from c) where place <= 5",
     "rank_portfolio": f"""with {_C}, e as (select *, place > 3 and coalesce(not covers_best_point, false) and coalesce(to_road <= 12, false) as rest from r),
