@@ -121,7 +121,8 @@ ORACLES = {
     "strata_sample": f"""with {_C}, e as (select distinct case_key from (select distinct candidate_source, case_key from polygon_candidates where case_key is not null) qualify row_number() over (partition by candidate_source order by md5('7' || case_key), case_key) <= 20),
       k as (select case_key, case when first_hit <= 5 then 'hit' else 'miss' end as kind from h where case_key not in (select case_key from e)) select kind, case_key from k qualify row_number() over (partition by kind order by md5('9' || case_key), case_key) <= 20""",
 }
-ORACLES["strategy_centroid_cluster"] = f"""with recursive {_C}, z as (select * from r where x is not null and y is not null), near as (select a.case_key, a.candidate_id as u, b.candidate_id as v from z a join z b on a.case_key = b.case_key and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 80),
-      reach as (select case_key, u, v from near union select reach.case_key, reach.u, near.v from reach join near on near.case_key = reach.case_key and near.u = reach.v),
-      l as (select case_key, u as candidate_id, min(v) as cluster from reach group by 1, 2), f as (select z.case_key, z.candidate_id, z.place from z join l using (case_key, candidate_id) qualify row_number() over (partition by z.case_key, cluster order by z.place) = 1)
+ORACLES["strategy_centroid_cluster"] = f"""with recursive {_C}, z as (select *, cast(floor(x / 56.5) as bigint) || ',' || cast(floor(y / 56.5) as bigint) as cell from r where x is not null and y is not null),
+      near as (select distinct a.case_key, a.cell as u, b.cell as v from z a join z b on a.case_key = b.case_key and sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 80),
+      reach as (select case_key, u, v from near union select reach.case_key, reach.u, near.v from reach join near on near.case_key = reach.case_key and near.u = reach.v), k as (select case_key, cell, min(candidate_id) as least from z group by 1, 2),
+      l as (select reach.case_key, u as cell, min(least) as cluster from reach join k on k.case_key = reach.case_key and k.cell = v group by 1, 2), f as (select z.case_key, z.candidate_id, z.place from z join l using (case_key, cell) qualify row_number() over (partition by z.case_key, cluster order by z.place) = 1)
       select case_key, candidate_id, cast(p as int) as place from (select *, row_number() over (partition by case_key order by place) as p from f) where p <= 5"""

@@ -30,7 +30,7 @@ def core():
     import importlib
 
     out = {}
-    for m in ("core_problems", "text_queries", "relational_queries", "evidence_queries", "pipeline"):
+    for m in ("core_problems", "text_queries", "relational_queries", "evidence_queries", "matching_queries", "strategy_queries", "pipeline"):
         m = importlib.import_module(f"parcelforge.plans.{m}")
         out |= {k: (f, m.ORACLES.get(k)) for k, f in m.QUERIES.items()}
     return out
