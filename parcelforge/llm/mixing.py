@@ -18,7 +18,7 @@ def plan(stats: dict[str, tuple[int, int]], targets: list[tuple[str, float, int]
 
     The shares of sources with tokens are scaled to 1. Without a budget, it is the largest total at which every source
     still reaches its share with its repeats; a source whose repeated tokens fall short of its share of `starved` times
-    one pass is left out of that rule. It gives all it has and its shortfall shows in the report. With a budget beyond
+    one pass is left out of that rule (0 leaves out none). It gives all it has, and the report names it (`starved`) with its shortfall. With a budget beyond
     what the sources can give in their shares, those that run dry drop out of the queue and the others share the rest.
     A null or non-positive share means the source isn't used; a null max_repeats is 1.
     """
@@ -28,13 +28,16 @@ def plan(stats: dict[str, tuple[int, int]], targets: list[tuple[str, float, int]
         docs, tokens = stats.get(source, (0, 0))
         repeats = 1 if repeats is None else max(0, repeats)
         rows.append({"source": source, "target_share": share, "max_repeats": repeats, "docs": docs, "source_tokens": tokens, "cap": tokens * repeats})
+        rows[-1]["starved"] = False
     fed = [r for r in rows if r["target_share"] > 0 and r["cap"] > 0]
     whole = sum(r["target_share"] for r in fed)
     for r in rows:
         r["weight"] = r["target_share"] / whole if r in fed else 0.0
     if budget is None:
         one_pass = sum(r["source_tokens"] for r in fed)
-        able = [r["cap"] / r["weight"] for r in fed if r["cap"] / r["weight"] >= starved * one_pass]
+        for r in fed:
+            r["starved"] = r["cap"] / r["weight"] < starved * one_pass
+        able = [r["cap"] / r["weight"] for r in fed if not r["starved"]]
         budget = int(min(able)) if able else sum(r["cap"] for r in fed)
     # The virtual time at which the queue has sent the budget: sources run dry one after another.
     sent, now, queue = 0.0, 0.0, sorted(fed, key=lambda r: r["cap"] / r["weight"])
@@ -79,10 +82,10 @@ def mix(docs: DataFrame, targets: DataFrame, id_col: str, source_col: str, token
 
 
 def shares(mixed: DataFrame, made: list[dict], id_col: str, source_col: str) -> DataFrame:
-    """Per target source: target and reached share, tokens and documents used, most uses of one document, and what is missing to the target."""
+    """Per target source: target and reached share, tokens and documents used, most uses of one document, whether the source was too small to set the budget, and what is missing to the target."""
     spark = mixed.sparkSession
     want = spark.createDataFrame(
-        [(r["source"], r["target_share"], r["max_repeats"], r["docs"], r["source_tokens"]) for r in made], "source string, target_share double, max_repeats int, docs long, source_tokens long"
+        [(r["source"], r["target_share"], r["max_repeats"], r["docs"], r["source_tokens"], r["starved"]) for r in made], "source string, target_share double, max_repeats int, docs long, source_tokens long, starved boolean"
     )
     per_doc = mixed.groupBy(F.col(source_col).alias("source"), F.col(id_col).alias("id")).agg(F.count(F.lit(1)).alias("uses"), F.sum("tokens").alias("t"))
     got = per_doc.groupBy("source").agg(F.sum("t").alias("mixed_tokens"), F.count(F.lit(1)).alias("docs_used"), F.max("uses").alias("most_uses"))
@@ -92,4 +95,4 @@ def shares(mixed: DataFrame, made: list[dict], id_col: str, source_col: str) ->
         {c: F.coalesce(F.col(c), F.lit(0)) for c in ("mixed_tokens", "docs_used", "most_uses")}
     )  # the total is one row
     reached = F.when(F.col("_total") > 0, F.col("mixed_tokens") / F.col("_total")).otherwise(F.lit(0.0))
-    return out.select("source", "target_share", "max_repeats", "docs", "source_tokens", "mixed_tokens", "docs_used", "most_uses", reached.alias("reached_share"), (F.col("target_share") - reached).alias("shortfall"))
+    return out.select("source", "target_share", "max_repeats", "docs", "source_tokens", "mixed_tokens", "docs_used", "most_uses", "starved", reached.alias("reached_share"), (F.col("target_share") - reached).alias("shortfall"))

@@ -54,6 +54,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.where("members > 1").select(F.col("key").alias("case_key"), "group_key")
 
 
+def p7_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spanning forest behind the groups: which key hangs at which parent, by how many rows."""
+    forest, _ = splits.spanning_forest(splits.tie_edges(splits.ties(table(spark, sf_dir, "polygon_candidates"), "case_key", "base_key")))
+    return forest.select(F.expr("substr(a, 2)").alias("case_key"), F.expr("substr(b, 2)").alias("parent"), (-F.col("weight")).alias("rows"))
+
+
 def _targets(spark: SparkSession, sf_dir: str) -> list[tuple[str, float]]:
     return [(r["split_name"], r["share"]) for r in table(spark, sf_dir, "split_targets").select("split_name", "share").collect()]
 
@@ -96,7 +102,7 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p1_locations": p1_locations, "p3_found": p3_found, "p3_ranked": p3_ranked, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_splits": p7_splits, "p7_shares": p7_shares,
+    "p1_found": p1_found, "p1_locations": p1_locations, "p3_found": p3_found, "p3_ranked": p3_ranked, "p5_found": p5_found, "p5_unmatched": p5_unmatched, "p7_found": p7_found, "p7_forest": p7_forest, "p7_splits": p7_splits, "p7_shares": p7_shares,
     "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_redacted": p10_redacted,
 }

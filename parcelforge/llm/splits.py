@@ -77,10 +77,14 @@ def ties(df: DataFrame, key: str, base: str) -> DataFrame:
     return cut(named.groupBy("key", "parent").agg(F.count(F.lit(1)).alias("rows")), "ties")
 
 
+def tie_edges(tied: DataFrame) -> DataFrame:
+    """(u, v, weight) of keys (k...) and parents (p...); heavier ties first."""
+    return tied.select(F.concat(F.lit("k"), "key").alias("u"), F.concat(F.lit("p"), "parent").alias("v"), (-F.col("rows")).alias("weight"))
+
+
 def groups(tied: DataFrame) -> DataFrame:
     """(key, group_key, members, rows), stored: the tree that each key is in, named by its least key in string order."""
-    edges = tied.select(F.concat(F.lit("k"), "key").alias("u"), F.concat(F.lit("p"), "parent").alias("v"), (-F.col("rows")).alias("weight"))
-    _, trees = spanning_forest(edges)  # heavier ties first
+    _, trees = spanning_forest(tie_edges(tied))
     rows = tied.groupBy("key").agg(F.sum("rows").alias("rows"))
     keyed = trees.where(F.col("vertex").startswith("k")).select(F.expr("substr(vertex, 2)").alias("key"), "tree")
     member = cut(keyed.join(rows, "key"), "member")

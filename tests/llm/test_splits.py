@@ -1,5 +1,8 @@
+import os
 import random
 
+import pytest
+
 from parcelforge.llm.splits import assign, deal, groups, parent_name, spanning_forest, ties
 from pyspark.sql import functions as F
 
@@ -85,3 +88,32 @@ def test_shares_of_many_groups(spark):
     total = sum(r.n for r in got)
     assert {r.split for r in got} == {"train", "validation", "test"}
     assert all(abs(r.n / total - dict(TARGETS)[r.split]) < 0.02 for r in got)
+
+
+def test_forest_of_the_tables(spark):
+    """Every tree of the forest has one edge less than vertices, each edge is a tie, and no tie left out is heavier than the tree's ties between its ends."""
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("no test tables here")
+    from parcelforge.llm.queries import p7_forest
+    from parcelforge.llm.splits import spanning_forest, tie_edges, ties
+
+    tied = ties(spark.read.parquet("/root/testdata/sf0.001/polygon_candidates.parquet"), "case_key", "base_key")
+    all_ties = {("k" + r.key, "p" + r.parent): r.rows for r in tied.collect()}
+    forest, trees = spanning_forest(tie_edges(tied))
+    edges = [(r.a, r.b, r.weight) for r in forest.collect()]
+    root = {r.vertex: r.tree for r in trees.collect()}
+    assert all(all_ties[a, b] == -w and root[a] == root[b] for a, b, w in edges) and len(edges) == len(root) - len(set(root.values()))
+    assert all(root[a] == root[b] for a, b in all_ties)
+    best, seen = 0, {v: v for v in root}  # the weight of a heaviest forest, by Kruskal
+
+    def find(v):
+        while seen[v] != v:
+            v = seen[v]
+        return v
+
+    for (a, b), n in sorted(all_ties.items(), key=lambda e: -e[1]):
+        if find(a) != find(b):
+            seen[find(a)] = find(b)
+            best += n
+    assert -sum(w for _, _, w in edges) == best
+    assert p7_forest(spark, "/root/testdata/sf0.001").count() == len(edges)
