@@ -130,6 +130,21 @@ def road_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("case_key", "cand_no", "other", ((F.col("ax") + F.col("bx")) / 2).alias("x"), ((F.col("ay") + F.col("by")) / 2).alias("y"))
 
 
+def far_road_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As road_pairs, for roads at most 20 km apart: how many pairs each candidate begins, and the nearest."""
+    n = table(spark, sf_dir, "name_candidates").where((F.col("kind") == "road_candidate") & F.col("name").isNotNull()).select("case_key", "cand_no", N.expanded(F.col("name")).alias("road"), F.col("easting").alias("ax"), F.col("northing").alias("ay"))
+    m = n.select("case_key", F.col("cand_no").alias("other"), F.col("road").alias("other_road"), F.col("ax").alias("bx"), F.col("ay").alias("by"))
+    j = near_in_group(n, m, "case_key", ("ax", "ay"), ("bx", "by"), 20000.0).where("cand_no < other and road <> other_road")
+    return j.groupBy("cand_no").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.min("distance_m"), 6).alias("nearest"))
+
+
+def cases_without_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases that no point candidate, or no box, is for."""
+    c = table(spark, sf_dir, "cases").select("unique_key").distinct()
+    missing = lambda t: c.join(table(spark, sf_dir, t).select(F.col("case_key").alias("unique_key")), "unique_key", "left_anti").select("unique_key", F.lit(t).alias("missing"))
+    return missing("point_candidates").unionByName(missing("candidate_boxes"))
+
+
 def centre_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each box: points of its case within 140 m of its centre, how many sources they have, and the nearest."""
     b = table(spark, sf_dir, "candidate_boxes").select("case_key", "box_id", "center_x", "center_y")
@@ -169,7 +184,7 @@ def vector_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     topographic_scan, uprn_in_box, road_names, name_sets, gazetteer_exact, gazetteer_like, prefix_extension, tiered_resolve, place_hints, pool_candidates, pool_match, best_text_candidate,
-    evidence_pick, plan_pages, road_pairs, centre_scores, point_cells, case_uprns, grid_projection, vector_cosine,
+    evidence_pick, plan_pages, road_pairs, far_road_pairs, cases_without_points, centre_scores, point_cells, case_uprns, grid_projection, vector_cosine,
 )}
 
 _ABBR = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in N.ABBREVIATIONS.items()) + "}"
@@ -189,6 +204,10 @@ _POOL = """pool as (select row_id, cast(i as int) as pos, json_extract_string(c,
   where json_type(c) = 'OBJECT' and json_extract_string(c, '$.address') is not null)"""
 
 ORACLES = {
+    "far_road_pairs": f"""with n as (select case_key, cand_no, {_exp('name')} as road, easting as x, northing as y from name_candidates where kind = 'road_candidate' and name is not null and case_key is not null and isfinite(easting) and isfinite(northing)),
+      j as (select a.cand_no, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as d from n a join n b on a.case_key = b.case_key and a.cand_no < b.cand_no and a.road <> b.road) select cand_no, count(*) as pairs, round(min(d), 6) as nearest from j where d <= 20000 group by 1""",
+    "cases_without_points": "select distinct unique_key, 'point_candidates' as missing from cases where unique_key not in (select case_key from point_candidates where case_key is not null) union all select distinct unique_key, 'candidate_boxes' from cases where unique_key not in (select case_key from candidate_boxes where case_key is not null)",
+
     "topographic_scan": """select row_id, concat_ws(':', candidate_source, coalesce(case when trim(candidate_toid) <> '' then candidate_toid end, case when trim(candidate_id) <> '' then candidate_id end)) as object,
       case when isfinite(candidate_area_m2) then candidate_area_m2 end as area from polygon_candidates where regexp_matches(candidate_theme, '(?i)land|building')""",
     "uprn_in_box": f"select distinct UPRN, X_COORDINATE, Y_COORDINATE from uprn where X_COORDINATE between {BOX[0]} and {BOX[2]} and Y_COORDINATE between {BOX[1]} and {BOX[3]}",

@@ -26,6 +26,16 @@ def abbrev_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "name_candidates").select("cand_no", N.expanded(c).alias("spaced"), N.expanded(c, joiner="").alias("joined"))
 
 
+def compass_roads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with abbreviations and compass letters written out."""
+    return table(spark, sf_dir, "name_candidates").select("cand_no", N.expanded(F.col("name"), {**N.ABBREVIATIONS, **N.COMPASS}).alias("spaced"))
+
+
+def digit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with the letters that scanners make of digits read as digits, as for references."""
+    return table(spark, sf_dir, "name_candidates").select("cand_no", X.grid_digits(F.col("name")).alias("digits"))
+
+
 def case_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "cases").select("unique_key", N.last_path_part(F.col("FilePath")).alias("prefix"), N.base_key(F.col("unique_key")).alias("base_key")).distinct()
     return c.withColumn("reference", N.folder_reference(F.col("prefix")))
@@ -140,7 +150,8 @@ def lexicon_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gazetteer names that an address holds as whole words."""
     g = table(spark, sf_dir, "geocoder_rows").select("row_id", N.expanded(F.col("original_address")).alias("t"))
     o = table(spark, sf_dir, "open_names").select("ID", N.plain_upper(F.col("NAME1")).alias("n"))
-    return contained_names(g, F.col("t"), o, F.col("n"), ["row_id"], ["ID"]).select("row_id", "ID", F.col("name_words").cast("bigint").alias("name_words"))
+    widest = o.agg(F.max(F.size(F.split("n", " ")))).first()[0] or 1  # words of the longest name
+    return contained_names(g, F.col("t"), o, F.col("n"), ["row_id"], ["ID"], widest).select("row_id", "ID", F.col("name_words").cast("bigint").alias("name_words"))
 
 
 def longest_mention(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +165,7 @@ def phrase_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    norm_variants, abbrev_roads, case_keys, parsed_flags, gazetteer_numbers, case_addresses, piped_anchors, page_text, postcode_sets, address_tokens, house_numbers, range_cases,
+    norm_variants, abbrev_roads, compass_roads, digit_repair, case_keys, parsed_flags, gazetteer_numbers, case_addresses, piped_anchors, page_text, postcode_sets, address_tokens, house_numbers, range_cases,
     relation_counts, road_phrases, wide_road_phrases, site_phrases, before_road, grid_references, all_grid_references, token_similarity, gestalt_ratio, lexicon_mentions, longest_mention, phrase_elements,
 )}
 
@@ -186,6 +197,8 @@ ORACLES = {
         substr(regexp_replace(regexp_replace(a, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 120) as file_name
         from (select row_id, original_address as a from geocoder_rows)""",
     "abbrev_roads": f"select cand_no, {_exp('name')} as spaced, replace({_exp('name')}, ' ', '') as joined from name_candidates",
+    "compass_roads": f"select cand_no, {_exp('name').replace(_ABBR, _ABBR[:-1] + ', ' + ', '.join(f"'{k}': '{v}'" for k, v in N.COMPASS.items()) + '}')} as spaced from name_candidates",
+    "digit_repair": "select cand_no, translate(upper(name), 'OQDILSZBG', '000115286') as digits from name_candidates",
     "case_keys": """select distinct unique_key, regexp_extract(replace(FilePath, '\\', '/'), '([^/]*)$', 1) as prefix, regexp_replace(unique_key, '_\\d+$', '') as base_key,
         case when regexp_matches(regexp_extract(replace(FilePath, '\\', '/'), '([^/]*)$', 1), '[A-Z]+_0*\\d+') then regexp_extract(FilePath, '([A-Z]+)_0*(\\d+)[^/\\\\]*$', 1) || '-' || regexp_extract(FilePath, '([A-Z]+)_0*(\\d+)[^/\\\\]*$', 2) end as reference from cases""",
     "parsed_flags": f"""select row_id, {_FINITE.format('rule_score')} as score, {_FINITE.format('distance_to_best_point_m')} as distance, coalesce(covers_best_point, false) as covers,
