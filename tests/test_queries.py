@@ -49,7 +49,8 @@ def test_same_rows(spark, duck, name):
 
 @pytest.mark.parametrize("name", [k for k, (_, sql) in core().items() if not sql])
 def test_rows_without_sql(spark, name):
-    assert core()[name][0](spark, DATA).count() >= 0
+    rows = core()[name][0](spark, DATA).count()
+    assert rows > 0 or name == "case_uprns"  # the smallest tables have no address point in a case's polygon
 
 
 def test_entry(spark):
